@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, split
+from . import balance, canonical, split
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,4 +27,23 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(bodies, "doc")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces)}
+def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return balance.balanced_sample(table(spark, d, "distill_records"), table(spark, d, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d)[1].where("missing > 0").select("source_id", "selection_status")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report with the rows really drawn from each stratum."""
+    sample, report = _p5(spark, d)
+    drawn = sample.groupBy("source_id", "selection_status").agg(F.count(F.lit(1)).alias("sampled"))
+    return report.join(drawn, ["source_id", "selection_status"], "left").fillna(0, ["sampled"])
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d)[0]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample)}

@@ -11,7 +11,18 @@ WITH rows_ AS (
 grouped AS (SELECT canon, min(record_id) AS root, count(*) AS n FROM rows_ GROUP BY canon HAVING count(*) > 1)
 """
 
+_P5 = r"""
+WITH latest AS (
+  SELECT input_id, unnest(max(struct_pack(t := coalesce(scored_at, TIMESTAMP '0001-01-01'), s := source_id, k := selection_status)))
+  FROM distill_records WHERE input_id IS NOT NULL GROUP BY input_id),
+pool AS (SELECT regexp_replace(lower(s), '^\s+|\s+$', '', 'g') AS a, regexp_replace(lower(k), '^\s+|\s+$', '', 'g') AS b, count(*) AS c FROM latest GROUP BY ALL),
+joined AS (SELECT t.*, coalesce(c, 0) AS c FROM sample_targets t LEFT JOIN pool ON a = lower(trim(t.source_id)) AND b = lower(trim(t.selection_status))),
+sized AS (SELECT *, CAST(floor(sum(c) OVER () / 5) AS BIGINT) AS n FROM joined),
+report AS (SELECT source_id, selection_status, c AS pool_rows, greatest(CAST(min_rows AS BIGINT), CAST(floor(CAST(target_share AS DECIMAL(18,9)) * n) AS BIGINT)) AS need FROM sized)
+"""
+
 SQL = {
+    "p5_found": _P5 + "SELECT source_id, selection_status FROM report WHERE need > pool_rows",
     "p3_found": _P3_CANON
     + "SELECT g.root AS record_id, r.record_id AS copy_id FROM rows_ r JOIN grouped g USING (canon) WHERE r.record_id <> g.root",
     "p3_groups": _P3_CANON + "SELECT root AS record_id, n AS n_copies FROM grouped",
