@@ -43,7 +43,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes (exact file sizes for materialised tables)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -65,3 +65,12 @@ def heavy_split_join(rows: DataFrame, groups: DataFrame, key: str, size_col: str
     cold = groups.where(F.col(size_col) < hot_at)
     hot_keys = F.broadcast(hot.select(key))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(hot_keys, key, "left_anti").join(cold, key))
+
+
+#: A local table built from this many driver rows at most is broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast of a table built from a known number of driver-side ``rows``, if they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
