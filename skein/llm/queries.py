@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import balance, canonical, split
+from . import balance, canonical, leakage, split
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.overlaps(table(spark, d, "qmd_expansion_locations"), table(spark, d, "eval_deep_research"), table(spark, d, "qrels"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.overlap_counts(p2_found(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,4 +54,4 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d)[0]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample)}
