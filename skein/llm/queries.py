@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import balance, canonical, leakage, split
+from . import balance, canonical, leakage, split, tokens
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,4 +54,8 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d)[0]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids)}
