@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import balance, canonical, leakage, split, tokens
+from . import balance, canonical, leakage, pairs, split, tokens
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    entities = pairs.read_pairs(table(spark, d, "qmd_expansion_personal_entities"), "qmd_expansion_personal_entities", "output", lines=False)
+    contract = pairs.read_pairs(table(spark, d, "query_expansion_contract_v1"), "query_expansion_contract_v1", "raw_model_output", lines=True)
+    return pairs.defective_pairs(entities.unionByName(contract))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,4 +64,4 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids)}
