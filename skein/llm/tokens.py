@@ -131,13 +131,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """``<id_col>, ids`` for each row of ``df``."""
     literal, never = _model(vocabulary, folder)
     buckets = F.from_json(F.lit(literal), "array<map<string,int>>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    known = df.select(
-        F.col(id_col),
-        F.monotonically_increasing_id().alias("row"),
-        F.transform(chunks_of(text, never), lambda c: _let(_rank_of(c, buckets), lambda r: F.struct(r.alias("id"), F.when(r.isNull(), c).alias("c")))).alias("at"),
-    )
-    known = materialize(known.select(id_col, "row", F.col("at.id").alias("slots"), F.filter("at.c", lambda c: c.isNotNull()).alias("rest")), "p6_known")
+    # Each step refers to the one before more than once, so that Catalyst keeps them apart.
+    cut = df.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), chunks_of(F.coalesce(F.col(text_col), F.lit("")), never).alias("chunks"))
+    ranked = cut.select(id_col, "row", "chunks", F.transform("chunks", lambda c: _rank_of(c, buckets)).alias("slots"))
+    known = ranked.select(id_col, "row", "slots", F.filter("chunks", lambda c, i: F.get(F.col("slots"), i).isNull()).alias("rest"))
+    known = materialize(known, "p6_known")
     rest = known.where(F.size("rest") > 0).select("row", F.explode(F.array_distinct("rest")).alias("c"))
     vocabulary_ = rest.select("c").distinct().select("c", merge_fold(F.col("c"), buckets).alias("ids"))
     per_row = rest.join(vocabulary_, "c").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ids"))).alias("m"))
@@ -145,9 +143,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def _assembled(slots: Column, rest: Column, m: Column) -> Column:
-    """Ids in order: slots with an id as they are; the k-th slot without one takes the k-th of ``rest``."""
-    places = F.filter(F.transform(slots, lambda s, i: F.when(s.isNull(), i)), lambda i: i.isNotNull())
-    found = F.arrays_zip(places.alias("i"), F.transform(rest, lambda c: F.try_element_at(m, c)).alias("ids"))
-    own = F.filter(F.transform(slots, lambda s, i: F.struct(i.alias("i"), F.array(s).alias("ids"))), lambda x: F.get(x["ids"], F.lit(0)).isNotNull())
-    ordered = F.array_sort(F.concat(own, F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["ids"].alias("ids")))))
-    return F.when(F.size(rest) == 0, slots).otherwise(F.flatten(F.transform(ordered, lambda x: x["ids"])))
+    """Ids in order: the k-th slot without an id takes the ids of the k-th of ``rest``."""
+    gaps = F.filter(F.transform(slots, lambda s, i: F.when(s.isNull(), i)), lambda i: i.isNotNull())
+
+    def filled(gap: Column) -> Column:
+        def run(c: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(gap, k - 1) + 1, F.lit(0))
+            return F.concat(F.slice(slots, start + 1, F.get(gap, k) - start), F.try_element_at(m, c))
+
+        tail = F.slice(slots, F.element_at(gap, -1) + 2, F.size(slots))
+        return F.concat(F.flatten(F.transform(rest, run)), tail)
+
+    return F.when(F.size(rest) == 0, slots).otherwise(_let(gaps, filled))
