@@ -6,7 +6,7 @@ Everything runs in Spark's own expressions:
    UTF-8 byte and cut further wherever two neighbouring bytes occur inside no token at all (no
    merge can ever cross such a place, so this is exact);
 2. a chunk that is a token has its id at once, from a literal rank map: an array of small maps,
-   bucketed by CRC-32, as a literal map is searched from end to end;
+   bucketed by Spark's own hash, as a literal map is searched from end to end;
 3. the other chunks are made distinct over the whole corpus; on each, a fold over its byte array
    repeats the merge of lowest rank, keeping the ranks of neighbouring pairs beside the pieces so
    that a merge looks up two new pairs only;
@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import json
 import os
-import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +37,9 @@ TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 BUCKETS = 1 << 14
 _NO_RANK = (1 << 31) - 1
 _CUT = "\u0100"  # no byte character
-#: The published split pattern of this vocabulary (fixed value), with Unicode white space spelt out for Java.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+#: The published split pattern of this vocabulary (fixed value), with Unicode white space spelt out for Java
+#: and the frequent alternatives first (no other alternative starts with a letter or digit).
+SPLIT = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +48,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+def spark_hash(data: bytes, seed: int = 42) -> int:
+    """What Spark's ``hash`` gives for a string of these UTF-8 bytes (Murmur3 of 32 bits, signed)."""
+    mask = 0xFFFFFFFF
+
+    def mix(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) * 0x1B873593 & mask
+        h ^= k
+        return ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+
+    whole = len(data) // 4 * 4
+    h = seed
+    for i in range(0, whole, 4):
+        h = mix(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[whole:]:
+        h = mix(h, (b - 256 if b > 127 else b) & mask)
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & mask
+    return h - (1 << 32) if h >> 31 else h
+
+
 @lru_cache(4)
 def _model(name: str, folder: str) -> tuple[str, str]:
     """(rank buckets as JSON, pattern of the places that no merge crosses)."""
@@ -56,7 +78,7 @@ def _model(name: str, folder: str) -> tuple[str, str]:
     follows: list[set] = [set() for _ in range(256)]
     for token, rank in ranks.items():
         shown = token.decode("latin-1")
-        buckets[zlib.crc32(shown.encode()) % BUCKETS][shown] = rank
+        buckets[spark_hash(shown.encode()) % BUCKETS][shown] = rank
         for a, b in zip(token, token[1:]):
             follows[a].add(b)
     # Of these places only those between two characters of three or four bytes are used: such
@@ -71,7 +93,7 @@ def _model(name: str, folder: str) -> tuple[str, str]:
 
 
 def _rank_of(piece: Column, buckets: Column) -> Column:
-    return F.try_element_at(F.get(buckets, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), piece)
+    return F.try_element_at(F.get(buckets, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
 
 
 def _let(value: Column, body) -> Column:
@@ -127,19 +149,37 @@ def merge_fold(chunk: Column, buckets: Column) -> Column:
     return F.transform(folded["p"], lambda t: _rank_of(t, buckets))
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
-    """``<id_col>, ids`` for each row of ``df``."""
+def _ranked(df: DataFrame, keep: list[str], text_col: str, vocabulary: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rest, found): the rows with ``slots`` (ids, null where a chunk is no token) and ``rest``
+    (those chunks in order), the distinct chunks of each row, and the ids of each distinct chunk."""
     literal, never = _model(vocabulary, folder)
     buckets = F.from_json(F.lit(literal), "array<map<string,int>>")
     # Each step refers to the one before more than once, so that Catalyst keeps them apart.
-    cut = df.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), chunks_of(F.coalesce(F.col(text_col), F.lit("")), never).alias("chunks"))
-    ranked = cut.select(id_col, "row", "chunks", F.transform("chunks", lambda c: _rank_of(c, buckets)).alias("slots"))
-    known = ranked.select(id_col, "row", "slots", F.filter("chunks", lambda c, i: F.get(F.col("slots"), i).isNull()).alias("rest"))
+    cut = df.select(*keep, F.monotonically_increasing_id().alias("row"), chunks_of(F.coalesce(F.col(text_col), F.lit("")), never).alias("chunks"))
+    ranked = cut.select(*keep, "row", "chunks", F.transform("chunks", lambda c: _rank_of(c, buckets)).alias("slots"))
+    known = ranked.select(*keep, "row", "slots", F.filter("chunks", lambda c, i: F.get(F.col("slots"), i).isNull()).alias("rest"))
     known = materialize(known, "p6_known")
-    rest = known.where(F.size("rest") > 0).select("row", F.explode(F.array_distinct("rest")).alias("c"))
-    vocabulary_ = rest.select("c").distinct().select("c", merge_fold(F.col("c"), buckets).alias("ids"))
-    per_row = rest.join(vocabulary_, "c").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ids"))).alias("m"))
-    return known.join(per_row, "row", "left").select(id_col, _assembled(F.col("slots"), F.col("rest"), F.col("m")).alias("ids"))
+    rest = known.where(F.size("rest") > 0).select("row", "rest")
+    found = rest.select(F.explode(F.array_distinct("rest")).alias("c")).distinct().select("c", merge_fold(F.col("c"), buckets).alias("ids"))
+    return known, rest, found
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
+    """``<id_col>, ids`` for each row of ``df``."""
+    known, rest, found = _ranked(df, [id_col], text_col, vocabulary, folder)
+    chunks = rest.select("row", F.explode(F.array_distinct("rest")).alias("c"))
+    per_row = chunks.join(found, "c").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ids"))).alias("m"))
+    return known.join(per_row.hint("shuffle_hash"), "row", "left").select(id_col, _assembled(F.col("slots"), F.col("rest"), F.col("m")).alias("ids"))
+
+
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
+    """``<id_col>, row, n_tokens`` for each row of ``df``, without putting the ids together."""
+    known, rest, found = _ranked(df, [id_col], text_col, vocabulary, folder)
+    chunks = rest.select("row", F.explode("rest").alias("c")).groupBy("row", "c").agg(F.count(F.lit(1)).alias("k"))
+    more = chunks.join(found.select("c", F.size("ids").alias("n")), "c").select("row", F.col("k") * F.col("n"))
+    sure = known.select(id_col, "row", (F.size("slots") - F.size("rest")).cast("long").alias("n"))
+    total = sure.unionByName(more.toDF("row", "n").select(F.lit(None).cast(dict(df.dtypes)[id_col]).alias(id_col), "row", "n"))
+    return total.groupBy("row").agg(F.max(id_col).alias(id_col), F.sum("n").alias("n_tokens")).select(id_col, "row", "n_tokens")
 
 
 def _assembled(slots: Column, rest: Column, m: Column) -> Column:
