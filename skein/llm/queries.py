@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import balance, canonical, leakage, pairs, split, subjects, tokens
+from . import balance, canonical, leakage, packing, pairs, split, subjects, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
+    return packing.pack(sizes).withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
@@ -72,4 +81,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_shares(subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), with_labelled=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
