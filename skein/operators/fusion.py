@@ -5,6 +5,7 @@ Lists are rows ``qid, list, rank0, doc, weight`` (``rank0`` from 0) with optiona
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,8 +69,6 @@ def keep_best(results: DataFrame, by: str = "doc", least: float = 0.0, limit: in
 def rerank(candidates: DataFrame, score_texts, text_col: str = "chunk") -> DataFrame:
     """Scores each distinct (query, chunk) once by ``score_texts(queries, texts) -> scores`` (an Arrow
     batch function) and joins the scores back; a missing score is 0."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(score_texts(q.tolist(), t.tolist()), dtype=float)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from . import search_queries
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**search_queries.QUERIES}
+SQL: dict = {**search_queries.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("active").groupBy("source").count()
+    """Fielded BM25 over all active documents."""
+    return search_queries.bm25_top(spark, d)
