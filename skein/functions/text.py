@@ -8,8 +8,12 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Scripts written without spaces; each of their characters is a token of its own.
-CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: Code points of Han, Hiragana, Katakana and Hangul, scripts whose characters are tokens of
+#: their own. Plain ranges, as a script test costs a search per character.
+CJK = (
+    r"\x{1100}-\x{11FF}\x{2E80}-\x{2FD5}\x{3005}\x{3007}\x{3021}-\x{3029}\x{3038}-\x{303B}\x{3041}-\x{3096}\x{309D}-\x{309F}\x{30A1}-\x{30FA}\x{30FD}-\x{30FF}"
+    r"\x{3131}-\x{318E}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A960}-\x{A97C}\x{AC00}-\x{D7FB}\x{F900}-\x{FAD9}\x{FF66}-\x{FF6F}\x{FF71}-\x{FF9D}\x{20000}-\x{323AF}"
+)
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -28,12 +32,13 @@ MARKED, BASES = _plain_letters()
 
 def fold(c: Column) -> Column:
     """Lower case, Latin letters without diacritics."""
-    return F.translate(F.lower(c), MARKED, BASES)
+    low = F.lower(c)
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, MARKED, BASES))
 
 
 def space_cjk(c: Column) -> Column:
     """A space around each character of a script written without spaces."""
-    return F.regexp_replace(c, f"([{CJK}])", " $1 ")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(c, f"([{CJK}])", " $1 "))
 
 
 def tokens(c: Column) -> Column:

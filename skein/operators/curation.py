@@ -15,37 +15,41 @@ WORDS, GRAMS = 0.8, 0.85
 SHARES = (("train", 0.7), ("dev", 0.15), ("test", 0.15))
 
 
-def _candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
-    """Exact set-similarity join of ``id, items`` by prefix filtering: items in order of rarity, only the
-    first ``n - ceil(least n) + 1`` of a set are joined, and set sizes must fit."""
+def _candidates(left: DataFrame, right: DataFrame | None, least: float, common: int) -> DataFrame:
+    """Exact set-similarity join of ``id, items`` by prefix filtering: items in order of rarity; sets that are
+    similar enough share ``common`` items of their first ``n - ceil(least n) + common``, and their sizes fit.
+    Only pairs that do are verified."""
     both = left if right is None else left.unionByName(right)
     freq = both.select(F.explode("items").alias("item")).groupBy("item").count()
+    must = F.ceil(F.col("n") * least - 1e-9)
 
     def prefix(sets: DataFrame) -> DataFrame:
         ranked = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(freq, "item")
         place = F.row_number().over(W.partitionBy("id").orderBy("count", "item"))
-        return ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "item")
+        need = F.least(F.lit(common), must)
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - must + need).select("id", "n", need.alias("need"), "item")
 
-    a = prefix(left).select(F.col("id").alias("a"), F.col("n").alias("na"), "item")
-    b = prefix(left if right is None else right).select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (F.lit(True) if right is not None else F.col("a") < F.col("b"))
-    return a.join(b, "item").where(fits).select("a", "b").distinct()
+    a, b = (prefix(x).select(*[F.col(c).alias(c + side) for c in ("id", "n", "need")], "item") for x, side in ((left, "_a"), (left if right is None else right, "_b")))
+    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & (F.lit(True) if right is not None else F.col("id_a") < F.col("id_b"))
+    shared = a.join(b, "item").where(fits).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need_a", "need_b")).alias("need"))
+    return shared.where("k >= need").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None = None, words: float = WORDS, grams: float = GRAMS) -> DataFrame:
     """``a, b, by_words, by_grams`` of distinct texts (``id, text``) similar by words or by trigrams; without
     ``right`` within ``left`` (``a < b``). Exact: nothing is hashed away."""
-    left = materialize(left, "near")
-    right = None if right is None else materialize(right, "near")
+    left = materialize(left.withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id")), "near")
+    right = None if right is None else materialize(right.withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id")), "near")
     found = None
-    for make, least in ((word_set, words), (gram_set, grams)):
+    for make, least, common in ((word_set, words, 2), (gram_set, grams, 4)):
         sets = lambda df: df.select("id", make(F.col("text")).alias("items")).where(F.size("items") > 0)  # noqa: B023, E731
-        part = _candidates(sets(left), None if right is None else sets(right), least)
+        part = _candidates(sets(left), None if right is None else sets(right), least, common)
         found = part if found is None else found.union(part)
     pairs = found.distinct()
     other = left if right is None else right
-    full = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(other.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    scored = full.select("a", "b", jaccard(word_set(F.col("ta")), word_set(F.col("tb"))).alias("by_words"), jaccard(gram_set(F.col("ta")), gram_set(F.col("tb"))).alias("by_grams"))
+    full = pairs.join(left.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta")), "a").join(other.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb")), "b")
+    ends = (F.col("ka").alias("a"), F.col("kb").alias("b")) if right is not None else (F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    scored = full.select(*ends, jaccard(word_set(F.col("ta")), word_set(F.col("tb"))).alias("by_words"), jaccard(gram_set(F.col("ta")), gram_set(F.col("tb"))).alias("by_grams"))
     return scored.where((F.col("by_words") >= words) | (F.col("by_grams") >= grams))
 
 

@@ -130,14 +130,28 @@ def build_index(docs: DataFrame, doc: str, fields: dict[str, str], path: str | N
 
 
 def direct_index(docs: DataFrame, doc: str, fields: dict[str, str], queries: list[str]) -> LexicalIndex:
-    """An index of the given queries' terms only, straight from the documents: one scan, nothing written."""
+    """An index of the given queries' terms only, straight from the documents: one scan in which each text
+    is cut into tokens once; its length and the wanted tokens are all that is kept."""
     terms = {t for q in queries for p in parse_query(q) for t in p.terms}
-    starts = {p.terms[-1] for q in queries for p in parse_query(q) if p.prefix}
-    wanted = F.col("term").isin(sorted(terms - starts))
-    for s in sorted(starts):
-        wanted = wanted | F.col("term").startswith(s)
-    lens = lengths(docs, doc, fields)
-    return LexicalIndex(postings(docs, doc, fields).where(wanted), lens, *_stats(lens))
+    starts = sorted({p.terms[-1] for q in queries for p in parse_query(q) if p.prefix})
+    whole = sorted(terms - set(starts))
+
+    def wanted(t: Column) -> Column:
+        hit = t.isin(whole) if whole else F.lit(False)
+        for x in starts:
+            hit = hit | t.startswith(x)
+        return hit
+
+    cut = docs.select(F.col(doc).alias("doc"), *[tokens(F.col(c)).alias(f"t_{f}") for f, c in fields.items()])
+
+    def hits(field: str) -> Column:
+        placed = F.transform(F.col(f"t_{field}"), lambda t, i: F.when(wanted(t), F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("pos"))))
+        return F.filter(placed, lambda x: x.isNotNull())
+
+    kept = cut.select("doc", sum(F.size(f"t_{f}") for f in fields).alias("len"), F.concat(*[hits(f) for f in fields]).alias("hits"))
+    kept = materialize(kept, "direct_index")
+    post = kept.select("doc", F.explode("hits").alias("h")).select("h.term", "doc", "h.field", "h.pos")
+    return LexicalIndex(post, kept.select("doc", "len"), *_stats(kept))
 
 
 def search(spark: SparkSession, index: LexicalIndex, queries: list[tuple[str, str]], scope: DataFrame | None = None) -> DataFrame:

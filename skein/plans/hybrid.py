@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, expansion, fusion, lexical, maintenance, metadata, retrieval, vector
 from ..operators.expansion import SubQuery, parse_document
+from ..session import materialize
 
 #: Candidates that are reranked, results per list, default result limits and least vector score.
 CANDIDATES, PER_LIST, LIMIT, LEAST_VECTOR = 40, 20, 10, 0.3
@@ -107,16 +108,21 @@ class Store:
         else:
             (subs, intent), structured = parsed, True
         lists = None
+        words = [(str(i), q.text) for i, q in enumerate(subs) if q.kind == "lex"]
+        if words:  # all lexical lists in one pass
+            index = self._index or lexical.direct_index(self.documents, "doc", {"path": "path", "title": "title", "body": "body"}, [t for _, t in words])
+            every = lexical.top(lexical.search(self.spark, index, words, self.scope(collections, predicate)).withColumn("score", F.round("score", 12)), PER_LIST)
+            lists = every.select(F.lit("q").alias("qid"), F.col("qid").cast("int").alias("list"), (F.col("rank") - 1).alias("rank0"), "doc", (F.col("qid").cast("int") < (2 if self.embed else 1)).alias("original"))
         for i, q in enumerate(subs):
             if q.kind == "lex":
-                found = self.search_lexical(q.text, PER_LIST, collections, predicate)
-            elif self.vectors is not None and self.embed:
+                continue
+            if self.vectors is not None and self.embed:
                 found = self.search_vector(q.text, PER_LIST, 0.0, collections, predicate)
             else:
                 continue
             part = found.select(F.lit("q").alias("qid"), F.lit(i).alias("list"), (F.col("rank") - 1).alias("rank0"), "doc", F.lit(i < (2 if self.embed else 1)).alias("original"))
             lists = part if lists is None else lists.unionByName(part)
-        fused = fusion.reciprocal_rank_fusion(fusion.list_weights(lists, structured), CANDIDATES)
+        fused = materialize(fusion.reciprocal_rank_fusion(fusion.list_weights(lists, structured), CANDIDATES), "fused")  # at most CANDIDATES rows
         primary = next((q.text for q in subs if q.kind == "lex"), subs[0].text)
         shown = primary if not intent else f"{intent}\n\n{primary}"
         bodies = self.documents.join(F.broadcast(fused.select("doc")), "doc")

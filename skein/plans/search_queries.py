@@ -78,7 +78,7 @@ def _fold_sql(c: str) -> str:
 
 
 def tokens_sql(c: str) -> str:
-    return rf"regexp_extract_all(regexp_replace({_fold_sql(f'coalesce({c}, {chr(39)}{chr(39)})')}, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(regexp_replace({_fold_sql(f'coalesce({c}, {chr(39)}{chr(39)})')}, '([{T.CJK}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 
 
 def bm25_sql(queries=LEXICAL, scope: str = "true") -> str:
