@@ -5,7 +5,7 @@ is the pool. The sample is ``share`` of the pool. Each stratum needs the larger
 and its target share of the sample, rounded down; what the pool lacks is reported, never hidden.
 
 Method: the pool's category moments are aggregated distributedly to one count per stratum (there
-are as many as target rows). Quotas are fixed at the floors where they bind and at the pool where
+are as many as target rows). Quotas are fixed at the floors where they bind (also where the floors together exceed the sample) and at the pool where
 it is too small; the others follow the targets. Inclusion probabilities are the exponential tilting
 ``d * exp(lambda_k)`` of the base rate whose dual Newton's method solves, and the pivotal method
 draws a sample of exactly the quota from each stratum: first within partitions, then among the at
