@@ -1,0 +1,207 @@
+import pytest
+from pyspark.sql import functions as F
+
+from skein.operators import curation, ingest, maintenance, metadata, metrics
+
+E = metadata.ENTRY_SCHEMA
+
+
+@pytest.fixture(scope="module")
+def entries(spark):
+    rows = []
+    for doc, values in {
+        1: {"tag": ["a", "b"], "n": 5.0, "ok": True},
+        2: {"tag": ["B"], "n": 7.5},
+        3: {"n": "seven", "ok": False},
+        4: {},
+    }.items():
+        rows += [(doc, *e) for e in metadata.entries_of(values)]
+    return spark.createDataFrame(rows, "doc long, " + E)
+
+
+CASES = [
+    ({"operator": "eq", "field": "tag", "value": "b"}, {1}),
+    ({"operator": "eq", "field": "tag", "value": "b", "caseInsensitive": True}, {1, 2}),
+    ({"operator": "ne", "field": "tag", "value": "a"}, {2}),
+    ({"operator": "nin", "field": "n", "value": [5]}, {2}),
+    ({"operator": "in", "field": "n", "value": [5, 7.5]}, {1, 2}),
+    ({"operator": "gt", "field": "n", "value": 6}, {2}),
+    ({"operator": "lte", "field": "n", "value": "z"}, {3}),
+    ({"operator": "all", "field": "tag", "value": ["a", "b"]}, {1}),
+    ({"operator": "exists", "field": "ok", "value": False}, {2, 4}),
+    ({"operator": "exists", "field": "ok", "value": True}, {1, 3}),
+    ({"operator": "type", "field": "n", "value": "string"}, {3}),
+    ({"operator": "not", "operand": {"operator": "eq", "field": "ok", "value": True}}, {2, 3, 4}),
+    ({"operator": "contains", "field": "n", "value": "eve"}, {3}),
+    ({"operator": "prefix", "field": "n", "value": "SE"}, set()),
+    ({"operator": "suffix", "field": "n", "value": "EN", "caseInsensitive": True}, {3}),
+    ({"operator": "and", "operands": [{"operator": "gte", "field": "n", "value": 5}, {"operator": "eq", "field": "ok", "value": True}]}, {1}),
+    ({"operator": "or", "operands": [{"operator": "eq", "field": "n", "value": 7.5}, {"operator": "eq", "field": "ok", "value": False}]}, {2, 3}),
+]
+
+
+def test_filters(spark, entries):
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "doc long")
+    for predicate, want in CASES:
+        assert {r["doc"] for r in metadata.filter_documents(docs, entries, predicate).collect()} == want, predicate
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"operator": "gt", "field": "a", "value": True}, {"operator": "in", "field": "a", "value": []}, {"operator": "in", "field": "a", "value": [1, "x"]}, {"operator": "eq", "field": "a", "value": 1, "x": 2},
+        {"operator": "contains", "field": "a", "value": ""}, {"operator": "eq", "field": "a", "value": 1, "caseInsensitive": True}, {"operator": "nope", "field": "a"}, {"operator": "and", "operands": []},
+        {"operator": "eq", "field": "a", "value": None}, {"operator": "eq", "field": "a", "value": float("nan")}, {"operator": "exists", "field": "a", "value": "yes"}, [], {"operator": "not"},
+    ],
+)
+def test_refused_filters(bad):
+    with pytest.raises(metadata.FilterError):
+        metadata.parse_filter(bad)
+
+
+def test_filter_limits():
+    deep = {"operator": "eq", "field": "a", "value": 1}
+    for _ in range(16):
+        deep = {"operator": "not", "operand": deep}
+    with pytest.raises(metadata.FilterError):
+        metadata.parse_filter(deep)
+    with pytest.raises(metadata.FilterError):
+        metadata.parse_filter({"operator": "all", "field": "key", "value": ["a"]}, entry=True)
+
+
+def test_every_value_is_found_by_eq(spark, entries):
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "doc long")
+    for r in metadata.value_counts(entries).collect():
+        value = {"string": str, "number": float, "boolean": lambda v: v == "true"}[r["value_type"]](r["value"])
+        assert metadata.filter_documents(docs, entries, {"operator": "eq", "field": r["key"], "value": value}).count() == r["documents"]
+
+
+def test_extraction(spark):
+    rows = [
+        (1, "---\nskein:\n  metadata:\n    a: [x, y, x]\n    b: 2\n    c: true\n---\nbody", "a.md"),
+        (2, "---\nskein:\n  metadata:\n    a: [x, 1]\n---\n", "a.md"),
+        (3, "---\nother: 1\n---\n", "a.md"),
+        (4, "---\nskein:\n  metadata:\n    a: x\n---\n", "a.txt"),
+        (5, None, "a.md"),
+        (6, "﻿---\r\nskein:\r\n  metadata:\r\n    a: x\r\n...\r\nbody", "b.MD"),
+        (7, "---\nskein: [\n---\n", "a.md"),
+    ]
+    got = {r["doc"]: r for r in metadata.extract_metadata(spark.createDataFrame(rows, "d long, t string, p string"), "d", "t", "p", "skein").collect()}
+    assert [(e["key"], e["ordinal"], e["text_value"]) for e in got[1]["entries"]][:2] == [("a", 0, "x"), ("a", 1, "y")] and len(got[1]["entries"]) == 4
+    assert got[2]["error"] and not got[2]["entries"] and got[7]["error"]
+    assert all(not got[i]["entries"] and not got[i]["error"] for i in (3, 4, 5)) and got[6]["entries"][0]["text_value"] == "x"
+
+
+def test_scan_and_upsert(spark):
+    s = spark.createDataFrame([("c", "a", 1, 5, "h1"), ("c", "b", 2, 5, "h2"), ("c", "d", 3, 6, "h4")], "collection string, path string, mtime int, size int, hash string")
+    m = spark.createDataFrame([("c", "a", 1, 5, "h1"), ("c", "b", None, 5, "h2"), ("c", "d", 1, 5, "h3"), ("c", "e", 1, 1, "h5")], "collection string, path string, mtime int, size int, hash string")
+    assert {r["path"]: r["change"] for r in ingest.classify(s, m).collect()} == {"a": "unchanged", "b": "touched", "d": "updated", "e": "removed"}
+    cols = "collection string, path string, title string, hash string, created_at int, modified_at int, active boolean"
+    old = spark.createDataFrame([("c", "a", "t", "h", 1, 1, False), ("c", "b", "t", "h", 1, 1, True)], cols)
+    new = spark.createDataFrame([("c", "a", "T", "H", 9, 9, False)], cols)
+    got = {r["path"]: r for r in ingest.upsert_documents(old, new).collect()}
+    assert got["a"]["active"] and got["a"]["created_at"] == 1 and got["a"]["hash"] == "H" and got["b"]["hash"] == "h"
+    gone = {r["path"]: r["active"] for r in ingest.deactivate_unseen(old, new, "c").collect()}
+    assert gone == {"a": False, "b": False}
+
+
+def test_files(spark, tmp_path):
+    for p, body in {"a.md": "# Hi", "sub/b.md": "x", ".hid/c.md": "x", "node_modules/d.md": "x", "e.txt": "x"}.items():
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(body)
+    got = ingest.scan_files(spark, str(tmp_path))
+    assert {r["path"] for r in got.select("path").collect()} == {"a.md", "sub/b.md"}
+    gated = ingest.gate(got.select("path", "size", F.decode("content", "UTF-8").alias("body")), limit=3)
+    assert {r["path"]: r["verdict"] for r in gated.collect()} == {"a.md": "too_large", "sub/b.md": "ok"}
+
+
+def test_stream_keeps_latest(spark, tmp_path):
+    from skein.streaming.incremental import latest_from_stream
+
+    d = tmp_path / "t.parquet"
+    spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("j", 1, "x"), (None, 9, "n")], "k string, t int, v string").repartition(3).write.parquet(str(d))
+    got = {r["k"]: r["v"] for r in latest_from_stream(spark, str(d), ["k"], "t", ["v"]).collect()}
+    assert got == {"k": "c", "j": "x"}
+
+
+def test_vectors_and_cleanup(spark):
+    docs = spark.createDataFrame([("c", "a", "h1", True), ("d", "a", "h1", True), ("c", "b", "h2", False), ("c", "e", "h3", True)], "collection string, path string, hash string, active boolean")
+    vec = spark.createDataFrame([("h1", 0, 2), ("h1", 1, 2), ("h3", 0, 2), ("h9", 0, 1)], "hash string, seq int, total_chunks int")
+    assert {r["hash"] for r in maintenance.pending_embeddings(docs, vec).collect()} == {"h3"}
+    assert maintenance.partial_vectors(vec).count() == 3 and maintenance.vector_rows(vec, docs).count() == 5
+    assert {r["hash"] for r in maintenance.orphaned_vectors(vec, docs).collect()} == {"h9"}
+    content = spark.createDataFrame([("h1",), ("h2",), ("h7",)], "hash string")
+    assert {r["hash"] for r in maintenance.orphaned_content(content, docs, True).collect()} == {"h7"}
+    assert {r["hash"] for r in maintenance.orphaned_content(content, docs, False).collect()} == {"h2", "h7"}
+    assert {r["hash"] for r in maintenance.exclusive_hashes(docs, "c").collect()} == {"h3"}
+
+
+def test_embedding_failures_stay_as_rows(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("bad", 3), ("long", 4)], "chunk string, id int")
+    got = {r["id"]: (r["embedding"], r["error"]) for r in maintenance.embed(df, model, dim=2).collect()}
+    assert got[1] == got[2] == ([1.0, 1.0], None) and got[3] == (None, "no") and got[4][0] == [4.0, 1.0]
+
+
+def test_metrics_by_hand(spark):
+    rank = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "z")], "qid string, rank int, doc string")
+    rel = spark.createDataFrame([("q", "b"), ("q", "c"), ("q", "x"), ("r", "y")], "qid string, doc string")
+    m = {r["qid"]: r for r in metrics.query_metrics(rank, rel).collect()}
+    assert m["q"]["precision_10"] == pytest.approx(2 / 3) and m["q"]["recall_1"] == 0 and m["q"]["mrr"] == 0.5 and m["r"]["mrr"] == 0
+    import math
+
+    dcg, ideal = 1 / math.log2(3) + 1 / math.log2(4), 1 + 1 / math.log2(3) + 1 / math.log2(4)
+    assert m["q"]["ndcg_10"] == pytest.approx(dcg / ideal)
+    assert metrics.gate(spark.createDataFrame([("a", 0.02), ("b", -0.005)], "source string, delta double")).first()["passed"]
+
+
+def brute_near(texts):
+    import re
+
+    def sets(t):
+        return set(re.findall(r"\w+", t.lower())), {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+
+    out = set()
+    for i, a in enumerate(sorted(texts)):
+        for b in sorted(texts)[i + 1 :]:
+            (wa, ga), (wb, gb) = sets(a), sets(b)
+            if len(wa & wb) / len(wa | wb) >= 0.8 or len(ga & gb) / len(ga | gb) >= 0.85:
+                out.add((a, b))
+    return out
+
+
+def test_near_pairs_are_exact(spark):
+    import random
+
+    rng = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(150)} | {"ab", "abc", "abcd"}
+    df = spark.createDataFrame([(t, t) for t in texts], "id string, text string")
+    assert {(r["a"], r["b"]) for r in curation.near_pairs(df).collect()} == brute_near(texts)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in curation.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_splits_and_quotas(spark):
+    fam = spark.createDataFrame([(f"f{i}", 1 + i % 5) for i in range(300)], "family string, size int")
+    s = {r["split"]: r["n"] for r in curation.split_families(fam).groupBy("split").agg(F.sum("size").alias("n")).collect()}
+    assert abs(s["train"] / 900 - 0.7) < 0.03 and abs(s["test"] / 900 - 0.15) < 0.03
+    q = curation.largest_remainder(spark.createDataFrame([("a", 10), ("b", 10), ("c", 13)], "s string, n long"), 10)
+    assert {r["s"]: r["quota"] for r in q.collect()} == {"a": 3, "b": 3, "c": 4}
+
+
+def test_ledger_and_lengths(spark):
+    rows = spark.createDataFrame([("k", "A"), ("k", "a"), ("l", "x"), ("l", "y"), ("m", "z"), ("n", "s"), ("n", "s"), ("o", ""), ("o", "")], "k string, r string")
+    got = {r["k"]: r["state"] for r in curation.conflict_ledger(rows, "k", F.col("r"), F.nullif(F.lower("r"), F.lit(""))).collect()}
+    assert got == {"k": "format_only", "l": "conflict", "m": "unique", "n": "identical", "o": "invalid"}
+    st = curation.length_stats(spark.range(100).selectExpr("cast(id as int) as n"), F.col("n")).first()
+    assert (st["p50"], st["p95"], st["p99"], st["sum"]) == (50, 95, 99, 4950)
