@@ -26,6 +26,8 @@ MAX_DEPTH, MAX_NODES, MAX_OPERANDS, MAX_MEMBERS = 16, 256, 32, 64
 
 ENTRY_SCHEMA = "key string, ordinal int, value_type string, text_value string, number_value double, boolean_value boolean"
 _FRONT = re.compile(r"\A﻿?---[ \t]*\r?\n(.*?)(?:^|\n)(?:---|\.\.\.)[ \t]*(?:\r?\n|\Z)", re.S)
+#: The same block for Spark, so that only it leaves the JVM.
+_BLOCK = r"^\x{FEFF}?---[ \t]*\r?\n(?s:.*?)(?:(?<=\n)|\n)(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)"
 
 
 class MetadataError(ValueError):
@@ -104,7 +106,7 @@ def extract(text: str, namespace: str | None = None) -> list[tuple]:
 def extract_metadata(docs: DataFrame, doc: str, text: str, path: str, namespace: str | None = None) -> DataFrame:
     """``doc, version, error, entries`` of each document; only Markdown files are read, the others have no entries."""
     kind = dict(docs.dtypes)[doc]
-    cols = docs.select(F.col(doc).alias("doc"), F.when(F.lower(path).rlike(r"\.(md|markdown|mdx)$"), F.substring(F.col(text), 1, MAX_FRONT + 100)).alias("text"))
+    cols = docs.select(F.col(doc).alias("doc"), F.when(F.lower(path).rlike(r"\.(md|markdown|mdx)$") & F.col(text).rlike(r"^\x{FEFF}?---"), F.regexp_extract(text, _BLOCK, 0)).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

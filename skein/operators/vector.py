@@ -56,32 +56,63 @@ def _best(ids: np.ndarray, vecs: np.ndarray, k: int):
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """``qid, id, distance, rank``: the ``k`` nearest rows of each query; ties by id."""
-    found = None
-    side = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+def _blocks(queries: DataFrame, id_col: str, vector_col: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query vectors in blocks of bounded size."""
     source = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    kind = dict(rows.dtypes)[id_col]
     batch: list = []
-    blocks = []
     for r in source.toLocalIterator():
         batch.append(r)
         if len(batch) == block:
-            blocks.append(batch)
+            yield np.array([x["id"] for x in batch]), _unit(pd.Series([x["v"] for x in batch]))
             batch = []
     if batch:
-        blocks.append(batch)
-    for b in blocks:
-        ids, vecs = np.array([r["id"] for r in b]), _unit(pd.Series([r["v"] for r in b]))
-        part = side.mapInPandas(_best(ids, vecs, k), f"qid {kind}, id {kind}, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], f"qid {kind}, id {kind}, distance double, rank int")
+        yield np.array([x["id"] for x in batch]), _unit(pd.Series([x["v"] for x in batch]))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``qid, id, distance, rank``: the ``k`` nearest rows of each query; ties by id."""
+    kind = dict(rows.dtypes)[id_col]
+    schema = f"qid {kind}, id {kind}, distance double"
+    side = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    found = rows.sparkSession.createDataFrame([], schema)
+    for ids, vecs in _blocks(queries, id_col, vector_col, block):
+        found = found.unionByName(side.mapInPandas(_best(ids, vecs, k), schema))
     order = W.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_chunk(hits: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """Of several chunks of a document the nearest one stays; ``score`` is 1 - distance."""
-    near = hits.groupBy("qid", doc_col).agg(F.min(F.struct("distance", "id")).alias("m"))
-    return near.select("qid", doc_col, F.col("m.id").alias("chunk"), F.col("m.distance").alias("distance"), (1 - F.col("m.distance")).alias("score"))
+def _best_groups(ids: np.ndarray, vecs: np.ndarray, k: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna() & pdf["g"].notna()]
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values(["g", "id"])
+            groups, starts = np.unique(pdf["g"].to_numpy(), return_index=True)
+            rows, key = _unit(pdf["v"]), pdf["id"].to_numpy()
+            distance = np.round(1 - vecs @ rows.T, 9)
+            distance[:, ~rows.any(1)] = np.inf
+            low = np.minimum.reduceat(distance, starts, axis=1)
+            # the first (smallest) id that reaches its group's minimum
+            hit = distance == np.repeat(low, np.diff([*starts, len(key)]), axis=1)
+            first = np.minimum.reduceat(np.where(hit, np.arange(len(key)), len(key)), starts, axis=1)
+            n = len(groups) if k is None else min(k, len(groups))
+            edge = np.partition(low, n - 1, axis=1)[:, n - 1 : n]
+            q, g = np.nonzero(low <= edge)
+            yield pd.DataFrame({"qid": ids[q], "g": groups[g], "id": key[first[q, g]], "distance": low[q, g]})
+
+    return run
+
+
+def nearest_groups(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, group_col: str, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """``qid, <group>, id, distance, rank``: groups (documents) by their nearest row (passage); the ``k`` nearest
+    or all. A batch sends only its own best groups, so passages are folded before anything moves."""
+    types = dict(rows.dtypes)
+    schema = f"qid {dict(queries.dtypes)[id_col]}, g {types[group_col]}, id {types[id_col]}, distance double"
+    side = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(group_col).alias("g"))
+    found = rows.sparkSession.createDataFrame([], schema)
+    for ids, vecs in _blocks(queries, id_col, vector_col, block):
+        found = found.unionByName(side.mapInPandas(_best_groups(ids, vecs, k), schema))
+    best = found.groupBy("qid", "g").agg(F.min(F.struct("distance", "id")).alias("m")).select("qid", F.col("g").alias(group_col), "m.id", "m.distance")
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", group_col)))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

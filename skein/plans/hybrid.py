@@ -84,8 +84,8 @@ class Store:
         if (scope := self.scope(collections, predicate)) is not None:
             rows = rows.join(scope, "doc", "left_semi")
         one = self.spark.createDataFrame([(0, [float(x) for x in vec])], "chunk long, embedding array<double>")
-        near = vector.nearest(one, rows.select("chunk", "embedding"), "chunk", "embedding", 1 << 20)
-        best = vector.best_chunk(near.withColumnRenamed("id", "chunk").join(rows.select("chunk", "doc"), "chunk").withColumnRenamed("chunk", "id"))
+        near = vector.nearest_groups(one, rows, "chunk", "embedding", "doc", limit)
+        best = near.select("qid", "doc", (1 - F.col("distance")).alias("score"))
         return fusion.keep_best(best, least=least, limit=limit)
 
     def query(self, searches: str | list[str], limit: int = LIMIT, least: float = 0.0, collections: list[str] | None = None, predicate: dict | None = None, reranked: bool = True) -> DataFrame:

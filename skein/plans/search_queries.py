@@ -129,10 +129,8 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 def knn_by_label(spark: SparkSession, d: str) -> DataFrame:
     """Per query and label the nearest row, as passages are folded into documents."""
     e = table(spark, d, "embeddings")
-    n = 1 << 30
-    found = vector.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", n).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("doc")), "id")
-    best = vector.best_chunk(found.withColumn("distance", F.round("distance", 6)))
-    return best.select("qid", F.col("doc").alias("label"), F.col("chunk").alias("vec_id"), "distance")
+    best = vector.nearest_groups(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label")
+    return best.select("qid", "label", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +300,7 @@ def formatted(name: str):
             "title",
             F.when(F.col("source") == "handbook", F.lit('the "handbook", all of it')).alias("context"),
             F.lit(1).alias("line"),
-            F.substring("text", 1, 80).alias("snippet"),
+            F.col("text").alias("snippet"),
         )
         return make(rows)
 
@@ -311,7 +309,7 @@ def formatted(name: str):
 
 _RESULTS = """
 WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS docid, length(path) / 64 AS score, 'skein://' || source || '/' || path AS file, title,
-  CASE WHEN source = 'handbook' THEN 'the "handbook", all of it' END AS context, substring(text, 1, 80) AS snippet FROM documents WHERE active AND doc_id IS NOT NULL AND hash IS NOT NULL)
+  CASE WHEN source = 'handbook' THEN 'the "handbook", all of it' END AS context, text AS snippet FROM documents WHERE active AND doc_id IS NOT NULL AND hash IS NOT NULL)
 """
 
 
@@ -411,7 +409,7 @@ SQL = {
     "term_frequencies": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) AS term FROM documents WHERE active AND doc_id IS NOT NULL) GROUP BY term HAVING count(*) > 1",
     "knn": _KNN.format("") + _KNN_TOP.format(10),
     "knn_filtered": _KNN.format("AND e.label = 3") + _KNN_TOP.format(5),
-    "knn_by_label": _KNN.format("") + "SELECT qid, label, vec_id, d AS distance FROM (SELECT *, round(distance, 6) AS d, row_number() OVER (PARTITION BY qid, label ORDER BY round(distance, 6), vec_id) AS r FROM pairs) WHERE r = 1",
+    "knn_by_label": _KNN.format("") + "SELECT qid, label, vec_id, d AS distance FROM (SELECT *, round(distance, 6) AS d, row_number() OVER (PARTITION BY qid, label ORDER BY round(distance, 9), vec_id) AS r FROM pairs) WHERE r = 1",
     "vector_norms": "SELECT label, count(*) AS n, abs(round(avg(list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS self_distance FROM embeddings GROUP BY label",
     "rrf": _LISTS.format("1.0", "") + _RRF,
     "rrf_structured": _LISTS.format("2.0", "AND list > 0") + _RRF,

@@ -424,7 +424,7 @@ def negation_lost(spark: SparkSession, d: str) -> DataFrame:
     """Titles that negate although their text's beginning does not, as queries and expansions are compared."""
     docs = _documents(spark, d).where("text is not null")
     sentence = F.regexp_extract("text", r"(?m)^([A-Z][^\r\n]*)$", 1)
-    return docs.where(curation.lost_negation(sentence, F.substring("title", 1, 200))).select("doc_id")
+    return docs.where(curation.lost_negation(sentence, F.col("title"))).select("doc_id")
 
 
 def normal_outputs(spark: SparkSession, d: str) -> DataFrame:
