@@ -65,7 +65,7 @@ def test_without_labels_and_empty(spark):
 
 
 def test_sentences_skip_structure():
-    text = "﻿---\nqmd:\n  a: b\n---\n\n# Head\n\nOne two.\r\n```py\ncode here\n```\n三 望遠鏡。四。"
+    text = "﻿---\nspace:\n  a: b\n---\n\n# Head\n\nOne two.\r\n```py\ncode here\n```\n三 望遠鏡。四。"
     assert subjects.sentences(text)[0] == ["one", "two"] and ["code", "here"] not in subjects.sentences(text)
 
 
