@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import curation, expansion, ingest, maintenance, metadata, metrics
 from ..session import materialize
 from ..sources.tables import table
+from .search_queries import _LINES
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -566,6 +567,16 @@ SQL |= {
       lambda w: length(w) > 1 AND w NOT IN (""".replace("\\\\", "\\") + ", ".join(f"'{w}'" for w in T.INTENT_STOP_WORDS) + """))) AS term FROM qmd_expansion_locations WHERE intent IS NOT NULL) GROUP BY term""",
     "front_matter": _FRONT + r"""SELECT doc_id, 'status' AS key, 'string' AS value_type, regexp_extract(b, '\n +status: +(\w+)', 1) AS value FROM f WHERE regexp_matches(b, '\n +status: +\w')
       UNION ALL SELECT doc_id, 'rank', 'number', regexp_extract(b, '\n +rank: +(\d+)', 1) FROM f WHERE regexp_matches(b, '\n +rank: +\d')""",
+    "conflict_ledger": _LINES
+    + """, k AS (SELECT DISTINCT record_id, input_key, coalesce(raw_model_output, '') AS raw FROM query_expansion_contract_v1 WHERE input_key IS NOT NULL),
+      c AS (SELECT record_id, string_agg(kind || ': ' || lower(text), chr(10) ORDER BY kind || ': ' || lower(text)) AS canon FROM lines WHERE text IS NOT NULL GROUP BY record_id),
+      g AS (SELECT input_key, count(*) AS "rows", count(DISTINCT raw) AS raws, count(DISTINCT canon) AS variants FROM k LEFT JOIN c USING (record_id) GROUP BY input_key)
+      SELECT input_key, "rows", variants, CASE WHEN variants = 0 THEN 'invalid' WHEN "rows" = 1 THEN 'unique' WHEN raws = 1 THEN 'identical' WHEN variants = 1 THEN 'format_only' ELSE 'conflict' END AS state FROM g""",
+    "table_fingerprint": """WITH d AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), chr(1)) || chr(0) || coalesce(source, chr(1)) || chr(0) || coalesce(path, chr(1)) || chr(0) || coalesce(hash, chr(1)) || chr(0) || coalesce(CAST(active AS VARCHAR), chr(1))) AS d FROM documents WHERE doc_id IS NOT NULL),
+      b AS (SELECT CAST('0x' || substring(d, 1, 8) AS BIGINT) % 1024 AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM d GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b""",
+    "family_splits": """WITH f AS (SELECT source AS family, CAST(count(*) AS BIGINT) AS size, sha256('7' || chr(0) || source) AS h FROM documents WHERE doc_id IS NOT NULL GROUP BY source),
+      r AS (SELECT family, size, (sum(size) OVER (ORDER BY h, family ROWS UNBOUNDED PRECEDING) - size) / sum(size) OVER () AS x FROM f)
+      SELECT family, size, CASE WHEN x < 0.7 - 1e-12 THEN 'train' WHEN x < 0.85 - 1e-12 THEN 'dev' ELSE 'test' END AS split FROM r""",
     "query_categories": f"""SELECT CASE WHEN w <= 3 THEN 'short' WHEN w <= 8 THEN 'medium' ELSE 'long' END AS size, trim(lower(coalesce(category, '?'))) AS category, count(*) AS n FROM
       (SELECT category, len(list_filter(string_split({_NORM}, ' '), lambda x: x <> '')) AS w FROM (SELECT DISTINCT record_id, query, category FROM qmd_expansion_locations WHERE query IS NOT NULL)) GROUP BY 1, 2""",
 }
