@@ -238,3 +238,17 @@ def render_document(title: Column, body: Column, code: Column) -> Column:
     runs = F.transform(F.regexp_extract_all(body, F.lit("`+"), F.lit(0)), lambda r: F.length(r))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
     return F.when(code, F.concat(fence, F.lit("\n"), body, F.lit("\n"), fence)).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
+
+
+def select_families(families: DataFrame, target: int, seed: str) -> DataFrame:
+    """Whole families up to a size: unused ones first, then by seeded hash, as long as one more moves nearer to ``target``.
+
+    families: ``family, size, used``. The running size is summed over hash ranges first, so no window holds all.
+    """
+    keyed = families.withColumn("h", hash_order(F.col("family"), seed)).withColumn("p", F.concat(F.when(F.col("used"), "1").otherwise("0"), F.substring("h", 1, 3)))
+    total = keyed.groupBy("p").agg(F.sum("size").alias("s"))
+    before = total.withColumn("before", F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).drop("s")
+    run = F.sum("size").over(W.partitionBy("p").orderBy("h", "family").rowsBetween(W.unboundedPreceding, 0))
+    at = keyed.withColumn("r", run).join(F.broadcast(before), "p").withColumn("upto", F.col("r") + F.col("before"))
+    nearer = F.abs(F.col("upto") - target) < F.abs(F.col("upto") - F.col("size") - target)
+    return at.where(nearer).select("family", "size", "used")

@@ -128,3 +128,16 @@ def batches(rows: DataFrame, order: str, size_col: str, partition: list[str], ma
     n = F.floor((F.row_number().over(w) - 1) / max_rows)
     b = F.floor((F.sum(size_col).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1) / max_bytes)
     return rows.withColumn("batch", n + b)
+
+
+def self_check(vectors: DataFrame, chunks: DataFrame, embed_texts, n: int = 20, seed: int = 3, tolerance: float = 1e-4) -> DataFrame:
+    """``hash, seq, distance, mismatch`` of a random sample of stored vectors embedded again at their saved place.
+
+    vectors: ``hash, seq, embedding``; chunks: ``hash, seq, chunk``.
+    """
+    from .vector import cosine_distance
+
+    sample = vectors.orderBy(F.rand(seed)).limit(n).withColumnRenamed("embedding", "stored").join(chunks, ["hash", "seq"])
+    fresh = embed(sample, embed_texts)
+    d = F.coalesce(cosine_distance(F.col("stored"), F.col("embedding")), F.lit(float("inf")))
+    return fresh.select("hash", "seq", d.alias("distance"), (d > tolerance).alias("mismatch"))

@@ -192,3 +192,12 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("ÀB c", "## Notes\n## Real\n", "x/a.md"), ("Z", "plain", "x/b.txt")], "a string, b string, p string")
     got = df.select(text.ascii_fold(df.a), text.fold(df.a), text.title_of(df.b, df.p), text.csv_field(df.b)).collect()
     assert tuple(got[0]) == ("Àb c", "ab c", "Notes", '"## Notes\n## Real\n"') and got[1][2] == "b"
+
+
+def test_benchmark_harness(spark, docs):
+    from skein.plans import harness
+
+    relevant = spark.createDataFrame([("1", 1), ("2", 2)], "qid string, doc long")
+    got = harness.benchmark(Store.of_documents(docs), [("1", "apple pie"), ("2", "pear"), ("3", 'bad "quote')], relevant, ("bm25", "vector", "full"), 5)
+    s = {r["backend"]: r for r in harness.summary(got).collect()}
+    assert set(s) == {"bm25", "full"} and s["bm25"]["recall"] == 1.0 and s["bm25"]["failures"] == 1 and s["full"]["queries"] == 3

@@ -205,3 +205,17 @@ def test_ledger_and_lengths(spark):
     assert got == {"k": "format_only", "l": "conflict", "m": "unique", "n": "identical", "o": "invalid"}
     st = curation.length_stats(spark.range(100).selectExpr("cast(id as int) as n"), F.col("n")).first()
     assert (st["p50"], st["p95"], st["p99"], st["sum"]) == (50, 95, 99, 4950)
+
+
+def test_self_check(spark):
+    vec = spark.createDataFrame([("h", 0, [1.0, 0.0]), ("h", 1, [0.0, 1.0])], "hash string, seq int, embedding array<float>")
+    chunks = spark.createDataFrame([("h", 0, "a"), ("h", 1, "b")], "hash string, seq int, chunk string")
+    got = {r["seq"]: r["mismatch"] for r in maintenance.self_check(vec, chunks, lambda ts: [[2.0, 0.0] for _ in ts]).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_family_selection(spark):
+    fam = spark.createDataFrame([(f"f{i}", 10, i % 2 == 0) for i in range(10)], "family string, size int, used boolean")
+    got = curation.select_families(fam, 54, "s").collect()
+    assert len(got) == 5 and not any(r["used"] for r in got)
+    assert len(curation.select_families(fam, 76, "s").collect()) == 8
