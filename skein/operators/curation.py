@@ -38,18 +38,21 @@ def _candidates(left: DataFrame, right: DataFrame | None, least: float, common:
 def near_pairs(left: DataFrame, right: DataFrame | None = None, words: float = WORDS, grams: float = GRAMS) -> DataFrame:
     """``a, b, by_words, by_grams`` of distinct texts (``id, text``) similar by words or by trigrams; without
     ``right`` within ``left`` (``a < b``). Exact: nothing is hashed away."""
-    left = materialize(left.withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id")), "near")
-    right = None if right is None else materialize(right.withColumn("key", F.col("id")).withColumn("id", F.xxhash64("id")), "near")
+    def with_sets(df: DataFrame) -> DataFrame:
+        text = F.col("text")
+        return materialize(df.select(F.xxhash64("id").alias("id"), F.col("id").alias("key"), word_set(text).alias("w"), gram_set(text).alias("g")), "near")
+
+    left, right = with_sets(left), None if right is None else with_sets(right)
     found = None
-    for make, least, common in ((word_set, words, 2), (gram_set, grams, 4)):
-        sets = lambda df: df.select("id", make(F.col("text")).alias("items")).where(F.size("items") > 0)  # noqa: B023, E731
+    for items, least, common in (("w", words, 3), ("g", grams, 6)):
+        sets = lambda df: df.select("id", F.col(items).alias("items")).where(F.size("items") > 0)  # noqa: B023, E731
         part = _candidates(sets(left), None if right is None else sets(right), least, common)
         found = part if found is None else found.union(part)
-    pairs = found.distinct()
     other = left if right is None else right
-    full = pairs.join(left.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta")), "a").join(other.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb")), "b")
+    sides = [df.select(F.col("id").alias(x), F.col("key").alias("k" + x), F.col("w").alias("w" + x), F.col("g").alias("g" + x)) for df, x in ((left, "a"), (other, "b"))]
+    full = found.distinct().join(sides[0], "a").join(sides[1], "b")
     ends = (F.col("ka").alias("a"), F.col("kb").alias("b")) if right is not None else (F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    scored = full.select(*ends, jaccard(word_set(F.col("ta")), word_set(F.col("tb"))).alias("by_words"), jaccard(gram_set(F.col("ta")), gram_set(F.col("tb"))).alias("by_grams"))
+    scored = full.select(*ends, jaccard(F.col("wa"), F.col("wb")).alias("by_words"), jaccard(F.col("ga"), F.col("gb")).alias("by_grams"))
     return scored.where((F.col("by_words") >= words) | (F.col("by_grams") >= grams))
 
 
