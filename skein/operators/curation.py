@@ -85,6 +85,31 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
+def query_families(queries: DataFrame, judged: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """``id, query, family``: one row per id, with the smallest query of its family.
+
+    Queries belong together if their normalised texts are equal or nearly so or if they share a judged document
+    or documents of equal content, directly or through others. queries: ``id, text``; a query without a text is
+    a family of its own unless a document joins it. judged: ``id, doc``; contents: ``doc, hash``.
+    """
+    text = F.coalesce(normal_query(F.col("text")), F.lit(""))
+    # a key behind all texts stands for a query without one
+    node = F.when(text != "", text).otherwise(F.concat(F.lit("\U0010ffff"), F.col("id").cast("string")))
+    own = materialize(queries.where("id is not null").select("id", node.alias("node"), text.alias("text")).distinct(), "families")
+    docs = judged.where("id is not null and doc is not null").select("id", F.col("doc").cast("string").alias("doc")).distinct()
+    if contents is not None:
+        same = contents.where("doc is not null and hash is not null").select(F.col("doc").cast("string").alias("doc"), F.concat(F.lit("\u0000"), "hash").alias("link"))
+        docs = docs.join(same.groupBy("doc").agg(F.min("link").alias("link")), "doc", "left").select("id", F.coalesce("link", "doc").alias("doc"))
+    by_doc = own.join(docs, "id").select("doc", "node").distinct()
+    edges = near_pairs(own.where("text <> ''").select(F.col("text").alias("id"), "text").distinct()).select("a", "b")
+    for rows, key in ((by_doc, "doc"), (own.select("id", "node"), "id")):
+        least = rows.groupBy(key).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        edges = edges.union(rows.join(least, key).where("node <> a").select("a", F.col("node").alias("b")))
+    roots = components(edges)
+    found = own.join(roots, "node", "left").select("id", F.when(F.col("text") != "", F.col("text")).alias("query"), F.coalesce("root", "node").alias("family"))
+    return found.groupBy("id").agg(F.min("query").alias("query"), F.min("family").alias("family"))
+
+
 def split_families(families: DataFrame, seed: str = "0", shares: tuple = SHARES) -> DataFrame:
     """``family, split``: whole families are dealt to splits, in the order of a seeded hash, by their running share of
     all rows. families: ``family, size``."""

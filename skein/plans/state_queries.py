@@ -323,9 +323,14 @@ def leaked_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_families(spark: SparkSession, d: str) -> DataFrame:
-    """Families of queries: connected by near-duplication (no SQL twin: iterative)."""
-    q = curation.distinct_queries(table(spark, d, "qmd_expansion_locations"), "query")
-    return curation.components(curation.near_pairs(q)).select(F.col("node").alias("query"), F.col("root").alias("family"))
+    """Family of each training record: near-duplicate queries and shared judged documents (no SQL twin: iterative)."""
+    rows = table(spark, d, "qmd_expansion_locations").where("record_id is not null")
+    judged = curation.binary_judgements(table(spark, d, "qrels")).withColumnRenamed("query_id", "record_id")
+    judged = rows.select("record_id", "source_id").distinct().join(judged, ["record_id", "source_id"])
+    f = curation.query_families(
+        rows.select(F.col("record_id").alias("id"), F.col("query").alias("text")), judged.select(F.col("record_id").alias("id"), F.concat_ws("\u0002", "source_id", "corpus_id").alias("doc"))
+    )
+    return f.select(F.col("id").alias("record_id"), "query", "family")
 
 
 def family_splits(spark: SparkSession, d: str) -> DataFrame:

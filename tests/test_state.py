@@ -191,6 +191,33 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_every_query_has_a_family(spark):
+    rows = [("a", "how to prune an old apple tree in spring"), ("b", "how to prune an old apple tree in the spring"), ("c", "something else"), ("c", "something else"), ("d", None), ("e", "third thing"), ("f", "fourth thing"), ("g", " "), (None, "x")]
+    q = spark.createDataFrame(rows, "id string, text string")
+    judged = spark.createDataFrame([("c", "d1"), ("d", "d1"), ("e", "d2"), ("f", "d3"), (None, "d2")], "id string, doc string")
+    contents = spark.createDataFrame([("d2", "same"), ("d3", "same"), ("d1", None)], "doc string, hash string")
+    got = [tuple(r) for r in curation.query_families(q, judged, contents).collect()]
+    assert len(got) == 7
+    family = {i: f for i, _, f in got}
+    groups = {}
+    for i, f in family.items():
+        groups.setdefault(f, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == [["a", "b"], ["c", "d"], ["e", "f"], ["g"]]
+    assert family["d"] == "something else" and family["a"] == rows[0][1]
+    apart = {r["id"]: r["family"] for r in curation.query_families(q, judged.where("false")).collect()}
+    assert len(apart) == 7 and len(set(apart.values())) == 6
+
+
+def test_registered_families_hold_every_record(spark):
+    import __spark_entry__ as e
+    from skein.sources.tables import table
+
+    d = "/root/testdata/sf0.001"
+    want = {r[0] for r in table(spark, d, "qmd_expansion_locations").where("record_id is not null").select("record_id").distinct().collect()}
+    got = [r["record_id"] for r in e.queries()["query_families"](spark, d).select("record_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_splits_and_quotas(spark):
     fam = spark.createDataFrame([(f"f{i}", 1 + i % 5) for i in range(300)], "family string, size int")
     s = {r["split"]: r["n"] for r in curation.split_families(fam).groupBy("split").agg(F.sum("size").alias("n")).collect()}
