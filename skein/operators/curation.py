@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,8 +112,47 @@ def query_families(queries: DataFrame, judged: DataFrame, contents: DataFrame |
     return found.groupBy("id").agg(F.min("query").alias("query"), F.min("family").alias("family"))
 
 
+def _deal(sizes: list[tuple[int, int]], shares: tuple) -> list[tuple[int, int, int, list[str]]]:
+    """``size, first, last, splits`` of the ranks among families of one size that go to the splits in turn.
+
+    sizes: (size, families), largest first. Each family goes to the split that lacks most rows, the first of equal
+    ones; among equal sizes the splits within one size of the lack of the first take turns until another one lacks as much.
+    """
+    total = sum(s * n for s, n in sizes)
+    lack = [Fraction(str(share)) * total for _, share in shares]
+    out = []
+    for size, n in sizes:
+        rank = 0
+        while rank < n:
+            order = sorted(range(len(shares)), key=lambda i: (-lack[i], i))
+            turn = [i for i in order if lack[i] > lack[order[0]] - size]
+            rest = order[len(turn) :]
+            rounds = (lack[order[0]] - lack[rest[0]]) // size if rest else n
+            last = min(n, rank + int(rounds) * len(turn))
+            out.append((size, rank, last, [shares[i][0] for i in turn]))
+            for k, i in enumerate(turn):
+                lack[i] -= size * len(range(rank + k, last, len(turn)))
+            rank = last
+    return out
+
+
 def split_families(families: DataFrame, seed: str = "0", shares: tuple = SHARES) -> DataFrame:
-    """``family, split``: whole families are dealt to splits, in the order of a seeded hash, by their running share of
+    """``family, size, split``: whole families, largest first and then in the order of a seeded hash, each to the split
+    that lacks most rows. families: ``family, size``. Equal sizes are dealt in bulk: the driver holds one row per distinct
+    size, of which ``n`` rows have at most ``sqrt(2 n)``."""
+    keyed = materialize(families.where("size > 0").withColumn("h", hash_order(F.col("family"), seed)).withColumn("p", F.substring("h", 1, 3)), "split")
+    sizes = [(r["size"], r["n"]) for r in keyed.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()]
+    turns = families.sparkSession.createDataFrame(_deal(sizes, shares), "size long, first long, last long, splits array<string>")
+    # ranks in two levels, so that no window holds all families of a size
+    parts = keyed.groupBy("size", "p").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("size", "p", (F.sum("n").over(W.partitionBy("size").orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("size", "p").orderBy("h", "family")) - 1).join(before, ["size", "p"]).withColumn("rank", F.col("r") + F.col("before"))
+    dealt = ranked.join(F.broadcast(turns), "size").where("rank >= first and rank < last")
+    return dealt.select("family", "size", F.expr("splits[cast((rank - first) % size(splits) as int)]").alias("split"))
+
+
+def split_by_running_share(families: DataFrame, seed: str = "0", shares: tuple = SHARES) -> DataFrame:
+    """``family, size, split``: whole families are dealt to splits, in the order of a seeded hash, by their running share of
     all rows. families: ``family, size``."""
     order = F.sha2(F.concat_ws("\u0000", F.lit(seed), F.col("family").cast("string")), 256)
     keyed = families.withColumn("h", order)

@@ -336,6 +336,12 @@ def query_families(spark: SparkSession, d: str) -> DataFrame:
 def family_splits(spark: SparkSession, d: str) -> DataFrame:
     """Whole collections dealt to splits by a seeded hash."""
     fam = _documents(spark, d).groupBy(F.col("collection").alias("family")).agg(F.count(F.lit(1)).alias("size"))
+    return curation.split_by_running_share(fam, "7")
+
+
+def query_family_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole query families dealt to splits, each to the one that lacks most records (no SQL twin: sequential)."""
+    fam = query_families(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     return curation.split_families(fam, "7")
 
 
@@ -484,7 +490,7 @@ QUERIES |= {
     for f in (
         metadata_keys, metadata_types, metadata_ranges, metadata_values, metadata_summaries, metadata_conflicts, metadata_matches, front_matter, scan_changes, gated_files, stored_content,
         upserted, unseen_inactive, streamed_upsert, collection_stats, pending_embeddings, missing_vector_rows, cleanup_counts, orphan_difference, exclusive_content, index_health, newest_results,
-        top_folders, table_fingerprint, embedding_batches, retrieval_metrics, macro_metrics, bootstrap_interval, hit_rates, near_duplicates, leaked_queries, query_families, family_splits,
+        top_folders, table_fingerprint, embedding_batches, retrieval_metrics, macro_metrics, bootstrap_interval, hit_rates, near_duplicates, leaked_queries, query_families, family_splits, query_family_splits,
         content_copies, resolved_collisions, exact_overlap, hash_sample, random_sample, quota_table, stratified_selection, main_pool, balanced_pool, conflict_ledger, length_statistics,
         query_usage, judged_pairs, judgement_audit, negation_lost, normal_outputs, rendered_documents, query_categories, intent_terms,
     )

@@ -218,6 +218,21 @@ def test_registered_families_hold_every_record(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_families_go_to_the_split_that_lacks_most(spark):
+    import hashlib
+
+    for sizes in ([100] + [1] * 200, [7, 7, 7, 3, 3, 1], [1 + i * i % 9 for i in range(150)], [40, 40] + [2] * 60):
+        fam = [(f"f{i}", n) for i, n in enumerate(sizes)]
+        total = sum(sizes)
+        lack = {"train": total * 14, "dev": total * 3, "test": total * 3}
+        want = {}
+        for f, n in sorted(fam, key=lambda x: (-x[1], hashlib.sha256(f"\0{5}\0{x[0]}".encode()).hexdigest())):
+            want[f] = max(lack, key=lack.get)
+            lack[want[f]] -= 20 * n
+        got = {r["family"]: r["split"] for r in curation.split_families(spark.createDataFrame(fam, "family string, size long"), "5").collect()}
+        assert got == want
+
+
 def test_splits_and_quotas(spark):
     fam = spark.createDataFrame([(f"f{i}", 1 + i % 5) for i in range(300)], "family string, size int")
     s = {r["split"]: r["n"] for r in curation.split_families(fam).groupBy("split").agg(F.sum("size").alias("n")).collect()}
