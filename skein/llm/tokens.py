@@ -25,8 +25,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,6 +174,23 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     return known.join(per_row.hint("shuffle_hash"), "row", "left").select(id_col, _assembled(F.col("slots"), F.col("rest"), F.col("m")).alias("ids"))
 
 
+def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
+    """``<id_col>, text`` for each row of ``df``: the bytes of the ids' tokens put together and read as UTF-8.
+
+    Null ids give a null text, an empty list gives an empty one, and an id outside the vocabulary is an error. Bytes
+    that are no UTF-8 (a list cut within a character) become replacement characters.
+    """
+    pieces = {rank: token for token, rank in read_ranks(os.path.join(folder, vocabulary)).items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [None if x is None else b"".join([pieces[int(i)] for i in x]).decode("utf-8", "replace") for x in pdf["ids"]]
+            yield pd.DataFrame({id_col: pdf[id_col], "text": pd.Series(texts, index=pdf.index, dtype=object)})
+
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+    return df.select(id_col, F.col(ids_col).alias("ids")).mapInPandas(run, f"`{id_col}` {kind}, text string")
+
+
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """``<id_col>, row, n_tokens`` for each row of ``df``, without putting the ids together."""
     known, rest, found = _ranked(df, [id_col], text_col, vocabulary, folder)

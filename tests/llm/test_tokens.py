@@ -35,6 +35,14 @@ def test_repeated_ids_and_empty_table(spark):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_decode_gives_the_text_back(spark):
+    texts = ["Größenordnung 望遠鏡 😀👩‍🔬\r\n\t  x", "<|endoftext|> 'll", "한국어\u200bעברית", "", " ", "word " * 500, "\x00é\ufeff"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(df)).collect()} == dict(enumerate(texts))
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in tokens.decode(odd).collect()} == {1: None, 2: ""}
+
+
 def test_hash_is_sparks(spark):
     words = ["", "a", "abcd", "abcde", "ÿé€", "longer text here"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "hash(w) as h").collect()
