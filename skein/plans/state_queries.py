@@ -285,7 +285,7 @@ def macro_metrics(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean difference of recall at 1 and at 3 (no SQL twin: resampling)."""
     m = metrics.query_metrics(*_rankings(spark, d))
-    return metrics.paired_bootstrap(m.select("qid", F.element_at(F.split("qid", r"\|"), 1).alias("source"), (F.col("recall_3") - F.col("recall_1")).alias("delta")), 200)
+    return metrics.paired_bootstrap(m.select("qid", F.element_at(F.split("qid", r"\|"), 1).alias("source"), (F.col("recall_3") - F.col("recall_1")).alias("delta")), 2000)
 
 
 def hit_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -433,10 +433,14 @@ def judgement_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negation_lost(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that negate although their text's beginning does not, as queries and expansions are compared."""
-    docs = _documents(spark, d).where("text is not null")
-    sentence = F.regexp_extract("text", r"(?m)^([A-Z][^\r\n]*)$", 1)
-    return docs.where(curation.lost_negation(sentence, F.col("title"))).select("doc_id")
+    """Training records of all expansion tables whose query negates although no entry of its expansion does."""
+    found = None
+    for name, output in (("qmd_expansion_locations", "output"), ("qmd_expansion_personal_entities", "output"), ("qmd_expansion_sports", "output"), ("query_expansion_contract_v1", "raw_model_output")):
+        said = F.col(output) if output == "raw_model_output" else F.array_join(F.flatten(F.filter(output, lambda e: e.isNotNull())), "\n")
+        rows = table(spark, d, name).where("record_id is not null").where(curation.lost_negation(F.col("query"), said))
+        part = rows.select(F.lit(name).alias("table_name"), F.col("record_id").cast("string").alias("record_id")).distinct()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def normal_outputs(spark: SparkSession, d: str) -> DataFrame:

@@ -233,6 +233,28 @@ def test_families_go_to_the_split_that_lacks_most(spark):
         assert got == want
 
 
+def test_negation_is_looked_for_in_expansions(spark, tmp_path):
+    from skein.plans import state_queries
+
+    rows = [(1, "hotels without a pool", [["lex", "hotels pool"], None]), (2, "hotels without a pool", [["lex", "hotels"], ["vec", "hotels that have no pool"]]), (3, "hotels with a pool", [["lex", "hotels"]]), (4, "not open on Monday", None), (5, None, [["lex", "x"]])]
+    for name in ("qmd_expansion_locations", "qmd_expansion_personal_entities", "qmd_expansion_sports"):
+        spark.createDataFrame(rows + rows[:1], "record_id long, query string, output array<array<string>>").write.parquet(str(tmp_path / f"{name}.parquet"))
+    raw = [(1, "never on sale", "lex: on sale"), (2, "never on sale", "lex: not on sale"), (3, "on sale", None)]
+    spark.createDataFrame(raw, "record_id long, query string, raw_model_output string").write.parquet(str(tmp_path / "query_expansion_contract_v1.parquet"))
+    got = sorted((r["table_name"], r["record_id"]) for r in state_queries.negation_lost(spark, str(tmp_path)).collect())
+    tables = ("qmd_expansion_locations", "qmd_expansion_personal_entities", "qmd_expansion_sports")
+    assert got == sorted([(t, i) for t in tables for i in ("1", "4")] + [("query_expansion_contract_v1", "1")])
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
+    from skein.plans import state_queries
+
+    drawn = []
+    monkeypatch.setattr(state_queries.metrics, "paired_bootstrap", lambda deltas, rounds=1000, seed=13: drawn.append(rounds))
+    state_queries.bootstrap_interval(spark, "/root/testdata/sf0.001")
+    assert drawn == [2000]
+
+
 def test_splits_and_quotas(spark):
     fam = spark.createDataFrame([(f"f{i}", 1 + i % 5) for i in range(300)], "family string, size int")
     s = {r["split"]: r["n"] for r in curation.split_families(fam).groupBy("split").agg(F.sum("size").alias("n")).collect()}
