@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.overlap_counts(p2_found(spark, d))
+    return leakage.overlap_counts(leakage.overlap_rows(table(spark, d, "qmd_expansion_locations"), table(spark, d, "eval_deep_research"), table(spark, d, "qrels")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
