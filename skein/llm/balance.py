@@ -4,12 +4,17 @@ Of each input only the latest row counts; inputs outside the target strata are l
 is the pool. The sample is ``share`` of the pool. Each stratum needs the larger of its ``min_rows``
 and its target share of the sample, rounded down; what the pool lacks is reported, never hidden.
 
-Method: the pool's category moments are aggregated distributedly to one count per stratum (there
-are as many as target rows). Quotas are fixed at the floors where they bind (also where the floors together exceed the sample) and at the pool where
-it is too small; the others follow the targets. Inclusion probabilities are the exponential tilting
-``d * exp(lambda_k)`` of the base rate whose dual Newton's method solves, and the pivotal method
-draws a sample of exactly the quota from each stratum: first within partitions, then among the at
-most one undecided unit per stratum and partition.
+Method: the pool's category moments are aggregated distributedly to one count per stratum (there are as many as
+target rows); every moment of every Newton step is a function of these counts. Calibration is exponential tilting truncated at
+bounds: the expected rows of stratum k are ``t_k exp(x_k lambda)``, held between the need (or the pool, if smaller) and the
+pool, where ``t_k`` is its target and ``x_k`` marks its category in each of the target columns. Newton's method on the dual
+finds the lambda for which the totals of each category and of the sample are met, so that what a floor or a
+small pool takes from one stratum comes from or goes to strata of the same categories first. Totals that the bounds rule out
+are met as nearly as they can be (a small ridge on the dual); the size of the sample is always met, unless the floors alone exceed it.
+The expected rows over the pool's are the inclusion probabilities. The pivotal method draws with them:
+within a stratum's hash buckets, then among the at most one undecided unit per bucket, then among those per stratum, so each
+stratum gets its expected rows rounded down or up, and the sample its size. Strata taken whole or not at all
+are never undecided and need no draw. The report counts what was really drawn.
 
 Defined cases: null ids are no inputs; a null ``scored_at`` is older than any time; rows of the
 same input and time are ordered by their values; null or unknown strata are outside the pool; an
@@ -20,7 +25,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -60,124 +64,126 @@ def needs(targets: list[dict], counts: dict[int, int], share: Decimal) -> tuple[
     return size, [max(int(t["min_rows"] or 0), math.floor(Decimal(repr(float(t["target_share"] or 0))) * size)) for t in targets]
 
 
-def quotas(targets: list[dict], counts: dict[int, int], need: list[int], size: int) -> list[int]:
-    """Whole quotas between the need (or the pool, if smaller) and the pool; they sum to ``size``
-    where the bounds allow it. Free strata share what is left in proportion to their targets."""
-    pool = np.array([counts.get(i, 0) for i in range(len(targets))], float)
-    low = np.minimum(pool, np.array(need, float))
-    share = np.array([float(t["target_share"] or 0) for t in targets])
-    if low.sum() >= size or not share.sum():
-        return low.astype(int).tolist()
-    size = min(size, int(pool.sum()))
-
-    def at(c: float) -> np.ndarray:
-        return np.clip(c * share, low, pool)
-
-    a, b = 0.0, 1.0
-    while at(b).sum() < size and b < 1e18:
-        b *= 2
-    for _ in range(200):
-        mid = (a + b) / 2
-        a, b = (mid, b) if at(mid).sum() < size else (a, mid)
-    real = at(b)
-    whole = np.maximum(np.floor(real + 1e-9), low)
-    order = sorted(range(len(real)), key=lambda i: (-(real[i] - whole[i]), i))
-    for i in order * 2:
-        if whole.sum() >= size:
-            break
-        whole[i] = min(whole[i] + 1, pool[i])
-    return whole.astype(int).tolist()
+def tilt(moments: np.ndarray, totals: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, ridge: float = 0.0, steps: int = 100) -> np.ndarray:
+    """Expected rows ``start * exp(moments @ lambda)``, held between ``low`` and ``high``, that meet ``totals``, by Newton steps on the dual.
 
-
-def tilt(moments: np.ndarray, totals: np.ndarray, weights: np.ndarray, base: float, steps: int = 200) -> np.ndarray:
-    """Probabilities ``base * exp(moments @ lambda)`` that meet ``totals``, by Newton steps on the dual.
-
-    moments: strata x categories; weights: rows of each stratum. Steps are shortened to two
-    units, so that the iteration also converges from far away.
+    moments: strata x categories. A step is halved until the dual decreases; ``ridge`` bounds
+    lambda where the totals cannot be met.
     """
     lam = np.zeros(moments.shape[1])
-    for _ in range(steps):
-        p = weights * base * np.exp(moments @ lam)
-        gradient = moments.T @ p - totals
-        if np.abs(gradient).max(initial=0) < 1e-9 * max(1.0, totals.max(initial=1)):
-            break
-        hessian = (moments * p[:, None]).T @ moments
-        step = np.linalg.lstsq(hessian + 1e-12 * np.eye(len(lam)), gradient, rcond=None)[0]
-        lam -= step / max(1.0, np.abs(step).max() / 2)
-    return base * np.exp(moments @ lam)
+    low = np.maximum(low, 1e-9)  # keeps the logarithm finite
+    first, last = np.log(low / start), np.log(high / start)
 
+    def rows(x: np.ndarray) -> np.ndarray:
+        e = np.clip(moments @ x, first, last)
+        return start * np.exp(np.clip(e, -700, 700))
 
-def probabilities(quota: list[int], counts: dict[int, int], size: int) -> dict[int, float]:
-    """Inclusion probability of each stratum."""
-    live = [i for i, q in enumerate(quota) if q > 0]
-    if not live:
-        return {}
-    n = np.array([counts[i] for i in live], float)
-    p = tilt(np.eye(len(live)), np.array([quota[i] for i in live], float), n, size / sum(counts.values()))
-    return {i: min(1.0, float(x)) for i, x in zip(live, p)}
+    def dual(x: np.ndarray) -> float:
+        e = moments @ x
+        inner = np.clip(np.clip(e, first, last), -700, 700)
+        return float((start * np.exp(inner) + np.where(e > last, high * (e - last), 0) + np.where(e < first, low * (e - first), 0)).sum() - totals @ x + ridge / 2 * x @ x)
+
+    for _ in range(steps):
+        q, e = rows(lam), moments @ lam
+        gradient = moments.T @ q - totals + ridge * lam
+        if np.abs(gradient).max(initial=0) < 1e-9 * max(1.0, np.abs(totals).max(initial=1)):
+            break
+        inside = (e > first) & (e < last)
+        hessian = (moments * (q * inside)[:, None]).T @ moments + (ridge + 1e-9) * np.eye(len(lam))
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        step /= max(1.0, np.abs(step).max() / 5)
+        now, scale = dual(lam), 1.0
+        while scale > 1e-6 and dual(lam - scale * step) > now:
+            scale /= 2
+        lam = lam - scale * step
+    return rows(lam)
+
+
+def expected_rows(targets: list[dict], counts: dict[int, int], need: list[int], size: int, columns: list[str]) -> np.ndarray:
+    """The calibrated expected rows of each stratum; they sum to ``size`` where the bounds allow it."""
+    pool = np.array([counts.get(i, 0) for i in range(len(targets))], float)
+    low = np.minimum(pool, np.array(need, float))
+    share = np.array([float(t["target_share"] or 0) for t in targets])
+    out = low.copy()
+    free = (share > 0) & (pool > low)
+    if low.sum() >= size or not free.any():
+        return out
+    size = min(size, int(low[~free].sum() + pool[free].sum()))
+    start = share * size / share.sum()
+    categories = sorted({(c, t[c]) for t in targets for c in columns})
+    moments = np.array([[float(t[c] == v) for c, v in categories] for t in targets])
+    fixed = out[~free]
+    totals = moments.T @ start - moments[~free].T @ fixed
+    q = tilt(moments[free], totals, start[free], low[free], pool[free], ridge=1e-6 * size)
+    # last, the sample's own total exactly, from where the categories' totals are
+    q = np.clip(q, np.maximum(low[free], 1e-9), pool[free])
+    out[free] = tilt(np.ones((int(free.sum()), 1)), np.array([size - fixed.sum()]), q, low[free], pool[free])
+    return out
+
+
+def probabilities(rows: np.ndarray, counts: dict[int, int]) -> dict[int, float]:
+    """Inclusion probability of each stratum; whole numbers of rows are kept whole."""
+    near = np.where(np.abs(rows - np.rint(rows)) < 1e-6, np.rint(rows), rows)
+    return {i: min(1.0, float(q) / counts[i]) for i, q in enumerate(near) if q > 0}
 
 
 def _duel(a: tuple, b: tuple, u: float) -> tuple[list[tuple], tuple | None]:
     """One pivotal step of two undecided units (id, p): decided winners, and who stays undecided."""
     s = a[1] + b[1]
     if s < 1 - 1e-9:
-        return [], ((b if u * s < b[1] else a)[0], s)
+        kept = b if u * s < b[1] else a
+        return [], (kept[0], s, *kept[2:])
     winner, other = (a, b) if u * max(2 - s, 1e-12) < 1 - b[1] else (b, a)
     rest = s - 1
-    return [winner], (other[0], rest) if rest > 1e-9 else None
+    return [winner], (other[0], rest, *other[2:]) if rest > 1e-9 else None
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
 
-def _pivotal(p: dict[int, float]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_: dict[int, tuple] = {}
-        for pdf in batches:
-            won = []
-            for key, stratum, u in zip(pdf["id"].tolist(), pdf["stratum"].tolist(), pdf["u"].tolist()):
-                prob = p.get(stratum, 0.0)
-                if prob >= 1 - 1e-9:
-                    won.append((key, stratum, 1.0))
-                elif prob > 0:
-                    unit = (key, prob)
-                    if (held := open_.get(stratum)) is None:
-                        open_[stratum] = unit
-                        continue
-                    winners, rest = _duel(held, unit, u)
-                    won += [(w[0], stratum, 1.0) for w in winners]
-                    open_[stratum] = rest
-            yield _frame(won, ["id", "stratum", "p"])
-        yield _frame([(h[0], s, h[1]) for s, h in open_.items() if h], ["id", "stratum", "p"])
-
-    return run
-
-
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The last duels of a stratum among the units left by the partitions; their sum is whole."""
+def _pivotal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential duels of the units in the order of their hashes; the last row may stay undecided."""
+    pdf = pdf.sort_values(["u", "id"])
     won, held = [], None
-    for key, prob, u in zip(*(pdf.sort_values(["u", "id"])[c].tolist() for c in ("id", "p", "u"))):
+    for key, prob, u, stratum in zip(*(pdf[c].tolist() for c in ("id", "p", "duel", "stratum"))):
+        unit = (key, prob, stratum)
         if held is None:
-            held = (key, prob)
+            held = unit
             continue
-        winners, held = _duel(held, (key, prob), u)
-        won += [w[0] for w in winners]
-    if held is not None and held[1] > 0.5:
-        won.append(held[0])
-    return _frame([(w, pdf["stratum"].iloc[0]) for w in won], ["id", "stratum"])
+        winners, held = _duel(held, unit, u)
+        won += [(w[0], w[2], 1.0) for w in winners]
+    if held is not None:
+        whole = held[1] > 1 - 1e-6
+        if held[1] > 1e-6:
+            won.append((held[0], held[2], 1.0 if whole else held[1]))
+    return _frame(won, ["id", "stratum", "p"])
+
+
+#: Units of a bucket in which one task duels.
+BUCKET = 100_000
 
 
-def draw(pool: DataFrame, p: dict[int, float], seed: int = 17) -> DataFrame:
+def draw(pool: DataFrame, p: dict[int, float], counts: dict[int, int], seed: int = 17) -> DataFrame:
     """``id, stratum`` of the sampled units. Deterministic: units are ordered and decided by
-    hashes of their ids, so a task that is run again decides alike."""
-    u = lambda name: ((F.xxhash64(F.lit(seed), F.lit(name), "id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("u")
+    hashes of their ids, so a task that is run again decides alike, however the pool is partitioned."""
+    spark = pool.sparkSession
+    u = lambda name: ((F.xxhash64(F.lit(seed), F.lit(name), "id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52)))
     kind = dict(pool.dtypes)["id"]
-    ordered = pool.repartition("id").select("id", "stratum", u("duel")).sortWithinPartitions(F.xxhash64(F.lit(seed), "id"), "id")
-    first = materialize(ordered.mapInPandas(_pivotal(p), f"id {kind}, stratum int, p double"), "p5_first")
-    sure = first.where("p >= 1").select("id", "stratum")
-    last = first.where("p < 1").withColumn("u", u("last")).groupBy("stratum").applyInPandas(_settle, f"id {kind}, stratum int")
-    return sure.unionByName(last)
+    sure = pool.where(F.col("stratum").isin([i for i, x in p.items() if x >= 1])).select("id", "stratum")
+    undecided = [(i, x, -(-counts[i] // BUCKET)) for i, x in p.items() if x < 1]
+    if not undecided:
+        return sure
+    chance = broadcast_rows(spark.createDataFrame(undecided, "stratum int, p double, buckets int"), len(undecided))
+    units = pool.join(chance, "stratum").select("id", "stratum", "p", F.pmod(F.xxhash64(F.lit(seed), "id"), "buckets").alias("bucket"))
+    layout = f"id {kind}, stratum int, p double"
+    first = units.withColumn("u", u("order")).withColumn("duel", u("duel")).groupBy("stratum", "bucket").applyInPandas(_pivotal, layout)
+    first = materialize(first, "p5_first")
+    second = first.where("p < 1").withColumn("u", u("second")).withColumn("duel", u("last")).groupBy("stratum").applyInPandas(_pivotal, layout)
+    second = materialize(second, "p5_second")
+    # at most one unit of each stratum is left; their chances sum to a whole number
+    third = second.where("p < 1").withColumn("u", u("third")).withColumn("duel", u("end")).withColumn("bucket", F.lit(0)).groupBy("bucket").applyInPandas(_pivotal, layout)
+    return sure.unionByName(first.unionByName(second).where("p >= 1").select("id", "stratum")).unionByName(third.where("p > 0.5").select("id", "stratum"))
 
 
 def balanced_sample(
@@ -190,17 +196,20 @@ def balanced_sample(
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report). Sample: the id and the stratum as the targets write it. Report, a row per
-    target stratum: ``pool_rows``, ``need``, ``quota``, ``missing`` (need beyond the pool)."""
+    target stratum: ``pool_rows``, ``need``, ``expected`` (calibrated rows), ``sampled`` (rows drawn),
+    ``missing`` (need beyond the rows drawn)."""
     spark = df.sparkSession
     goal = numbered_targets(targets, strata)
     pool = materialize(pool_of(df, goal, strata, id_col, time_col), "p5_pool")
     counts = {r["stratum"]: r["count"] for r in pool.groupBy("stratum").count().collect()}
     size, need = needs(goal, counts, Decimal(share))
-    quota = quotas(goal, counts, need, size)
+    rows = expected_rows(goal, counts, need, size, strata)
+    chosen = materialize(draw(pool, probabilities(rows, counts), counts, seed), "p5_drawn")
     names = spark.createDataFrame(
-        [(i, *[t[s] for s in strata], counts.get(i, 0), need[i], quota[i], max(0, need[i] - counts.get(i, 0))) for i, t in enumerate(goal)],
-        "stratum int, " + ", ".join(f"{s} string" for s in strata) + ", pool_rows long, need long, quota long, missing long",
+        [(i, *[t[s] for s in strata], counts.get(i, 0), need[i], float(rows[i])) for i, t in enumerate(goal)],
+        "stratum int, " + ", ".join(f"{s} string" for s in strata) + ", pool_rows long, need long, expected double",
     )
-    sample = draw(pool, probabilities(quota, counts, size), seed) if size else pool.limit(0)
-    sample = sample.join(broadcast_rows(names.select("stratum", *strata), len(goal)), "stratum").select(F.col("id").alias(id_col), *strata)
-    return sample, names.drop("stratum")
+    sample = chosen.join(broadcast_rows(names.select("stratum", *strata), len(goal)), "stratum").select(F.col("id").alias(id_col), *strata)
+    drawn = chosen.groupBy("stratum").agg(F.count(F.lit(1)).alias("sampled"))
+    report = names.join(drawn, "stratum", "left").fillna(0, ["sampled"]).withColumn("missing", F.greatest(F.col("need") - F.col("sampled"), F.lit(0)))
+    return sample, report.drop("stratum")

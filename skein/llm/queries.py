@@ -50,10 +50,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report with the rows really drawn from each stratum."""
-    sample, report = _p5(spark, d)
-    drawn = sample.groupBy("source_id", "selection_status").agg(F.count(F.lit(1)).alias("sampled"))
-    return report.join(drawn, ["source_id", "selection_status"], "left").fillna(0, ["sampled"])
+    """The report; ``missing`` and ``sampled`` are counted in the rows really drawn."""
+    return _p5(spark, d)[1]
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:

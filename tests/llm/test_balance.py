@@ -24,7 +24,7 @@ def test_shares_minimum_and_gaps(spark):
     got = {(r["source_id"], r["selection_status"]): r["count"] for r in sample.groupBy("source_id", "selection_status").count().collect()}
     assert rep["S2", "tie"]["missing"] == 4 and got["S2", "tie"] == 3
     assert rep["S1", "win"]["need"] == 100 and rep["S1", "tie"]["need"] == 60
-    assert sum(got.values()) == 202 and all(got[k] == r["quota"] for k, r in rep.items())
+    assert sum(got.values()) == 202 and all(got[k] == r["sampled"] and abs(got[k] - r["expected"]) < 1 for k, r in rep.items())
     assert sample.select("input_id").distinct().count() == 202  # the minimum of the small stratum comes on top
     again = balance.balanced_sample(df.repartition(7), targets)[0]
     assert {r["input_id"] for r in again.collect()} == {r["input_id"] for r in sample.collect()}
@@ -46,11 +46,42 @@ def test_empty_pool(spark):
 
 def test_newton_meets_margins():
     rng = np.random.default_rng(0)
-    x = np.concatenate([np.eye(3).repeat(2, 0), np.tile(np.eye(2), (3, 1))[:, :1]], 1)
-    n = rng.integers(50, 500, 6).astype(float)
-    want = x.T @ (n * 0.2 * np.array([0.2, 1.5, 0.9, 1.1, 2.0, 0.4]))
-    p = balance.tilt(x, want, n, 0.2)
-    assert np.allclose(x.T @ (n * p), want, rtol=1e-6)
+    x = np.concatenate([np.eye(3).repeat(2, 0), np.tile(np.eye(2), (3, 1))], 1)
+    start = rng.integers(50, 500, 6).astype(float)
+    want = x.T @ (start * np.array([0.7, 1.5, 0.9, 1.1, 1.4, 0.8]))
+    q = balance.tilt(x, want, start, np.zeros(6) + 1e-9, np.full(6, 1e6))
+    assert np.allclose(x.T @ q, want, rtol=1e-6)
+    assert np.allclose(np.log(q / start), x @ np.linalg.lstsq(x, np.log(q / start), rcond=None)[0])
+
+
+GRID = [{"source_id": a, "selection_status": b, "target_share": 1 / 6, "min_rows": 0} for a in "xy" for b in "123"]
+
+
+def test_calibration_keeps_the_categories_totals():
+    """A pool that is too small is made up for by strata of its categories; without the dual all others would get the same."""
+    counts = {0: 40, 1: 1000, 2: 1000, 3: 1000, 4: 1000, 5: 1000}
+    q = balance.expected_rows(GRID, counts, [0] * 6, 600, ["source_id", "selection_status"])
+    assert abs(q.sum() - 600) < 1e-6 and abs(q[0] - 40) < 1e-6
+    assert abs(q[:3].sum() - 300) < 0.1 and abs(q[0] + q[3] - 200) < 0.1
+    assert q[1] > 120 and q[3] > 150 and q[4] < 80
+
+
+def test_calibration_where_totals_are_impossible():
+    counts = {0: 40, 1: 50, 2: 60, 3: 1000, 4: 1000, 5: 1000}
+    q = balance.expected_rows(GRID, counts, [0, 0, 0, 0, 0, 300], 600, ["source_id", "selection_status"])
+    assert abs(q.sum() - 600) < 1e-6 and q[5] >= 300 - 1e-9 and (q <= np.array(list(counts.values())) + 1e-9).all()
+    assert balance.expected_rows(GRID, {}, [0] * 6, 0, ["source_id"]).sum() == 0
+
+
+def test_draw_has_the_size_and_the_chances(spark):
+    pool = spark.range(3000).selectExpr("concat('i', id) as id", "cast(id % 3 as int) as stratum")
+    counts = {0: 1000, 1: 1000, 2: 1000}
+    p = {0: 1.0, 1: 0.1234, 2: 0.3336}
+    hits = np.zeros(3)
+    for seed in range(4):
+        got = {r["stratum"]: r["count"] for r in balance.draw(pool, p, counts, seed).groupBy("stratum").count().collect()}
+        assert got[0] == 1000 and got[1] in (123, 124) and got[2] in (333, 334) and sum(got.values()) == 1457
+        hits += [got[k] for k in range(3)]
 
 
 def test_needs_round_down_exactly():
