@@ -62,13 +62,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def _p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    sizes = tokens.count_tokens(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
-    return packing.pack(sizes).withColumnRenamed("id", "doc_id")
+    return packing.pack(_p7_items(spark, d)).withColumnRenamed("id", "doc_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p7_containers(spark, d))
+    return packing.compare_rules(_p7_items(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

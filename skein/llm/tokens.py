@@ -192,13 +192,14 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
-    """``<id_col>, row, n_tokens`` for each row of ``df``, without putting the ids together."""
-    known, rest, found = _ranked(df, [id_col], text_col, vocabulary, folder)
+    """``<id_col>, key, n_tokens`` for each row of ``df``, without putting the ids together; ``key`` is a hash of id and text."""
+    keyed = df.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("key"))
+    known, rest, found = _ranked(keyed, [id_col, "key"], text_col, vocabulary, folder)
     chunks = rest.select("row", F.explode("rest").alias("c")).groupBy("row", "c").agg(F.count(F.lit(1)).alias("k"))
     more = chunks.join(found.select("c", F.size("ids").alias("n")), "c").select("row", F.col("k") * F.col("n"))
-    sure = known.select(id_col, "row", (F.size("slots") - F.size("rest")).cast("long").alias("n"))
-    total = sure.unionByName(more.toDF("row", "n").select(F.lit(None).cast(dict(df.dtypes)[id_col]).alias(id_col), "row", "n"))
-    return total.groupBy("row").agg(F.max(id_col).alias(id_col), F.sum("n").alias("n_tokens")).select(id_col, "row", "n_tokens")
+    sure = known.select(id_col, "key", "row", (F.size("slots") - F.size("rest")).cast("long").alias("n"))
+    total = sure.unionByName(more.toDF("row", "n"), allowMissingColumns=True)
+    return total.groupBy("row").agg(F.max(id_col).alias(id_col), F.max("key").alias("key"), F.sum("n").alias("n_tokens")).select(id_col, "key", "n_tokens")
 
 
 def _assembled(slots: Column, rest: Column, m: Column) -> Column:

@@ -52,8 +52,9 @@ def test_hash_is_sparks(spark):
 def test_packing_respects_every_limit(spark):
     rng = random.Random(4)
     sizes = [rng.choice([0, 1, 3, 17, 50, 64, 100, 130, 250]) for _ in range(3000)]
-    items = spark.createDataFrame([(i, i, n) for i, n in enumerate(sizes)], "id long, row long, n_tokens long")
-    for kw in ({}, {"max_docs": 3}, {"max_cost": 10_000.0, "max_docs": 5}, {"rule": "dot", "max_docs": 4}):
+    made = []
+    items = spark.createDataFrame([(i, i, n) for i, n in enumerate(sizes)], "id long, key long, n_tokens long")
+    for kw in ({}, {"max_docs": 3}, {"max_cost": 5_000.0, "max_docs": 100}, {"max_cost": 10_000.0, "max_docs": 100}, {"rule": "dot", "max_docs": 4}):
         rows = packing.pack(items, capacity=100, shard_items=1000, **kw).collect()
         bins = {}
         seen = {}
@@ -64,15 +65,27 @@ def test_packing_respects_every_limit(spark):
             else:
                 bins.setdefault(r["container"], []).append(r["n_tokens"])
         assert seen == dict(enumerate(sizes))
-        assert all(sum(b) <= 100 and len(b) <= kw.get("max_docs", 100) for b in bins.values())
-        if kw.get("max_cost") == 0:
-            assert all(sum(x * x for x in b) <= 5000 or b == [100] for b in bins.values())
+        cost = kw.get("max_cost", 7_500)
+        assert all(sum(b) <= 100 and len(b) <= kw.get("max_docs", 32) for b in bins.values())
+        assert all(sum(x * x for x in b) <= cost or len(b) == 1 for b in bins.values())
+        made.append(len(bins))
         if not kw:
-            assert sum(sizes) / (100 * len(bins)) > 0.97
+            report = packing.fill_report(spark.createDataFrame(rows, "id long, piece int, start_token long, n_tokens int, container long"), 100).first()
+            assert (report["containers"], report["most_pieces"]) == (len(bins), max(map(len, bins.values()))) and report["most_cost"] <= 1
+    free = packing.pack(items, capacity=100, max_docs=100, max_cost=10_000.0).where("container is not null").select("container").distinct().count()
+    assert made[1] > free and made[2] > free == made[3]  # each limit changes the result by itself
+    tiny = spark.createDataFrame([(i, i, 1) for i in range(100)], "id long, key long, n_tokens long")
+    assert packing.fill_report(packing.pack(tiny, 100), 100).first()["most_pieces"] == 32
+
+
+def test_containers_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i, " ".join(["word"] * (i % 50))) for i in range(300)], "doc_id long, text string")
+    packed = lambda x: {tuple(r) for r in packing.pack(tokens.count_tokens(x).withColumnRenamed("doc_id", "id"), 100).collect()}
+    assert packed(df) == packed(df.repartition(7))
 
 
 def test_packing_splits_only_oversized(spark):
-    items = spark.createDataFrame([("a", 0, 250), ("b", 1, 100), ("c", 2, 0)], "id string, row long, n_tokens long")
+    items = spark.createDataFrame([("a", 0, 250), ("b", 1, 100), ("c", 2, 0)], "id string, key long, n_tokens long")
     rows = sorted((r["id"], r["piece"], r["start_token"], r["n_tokens"]) for r in packing.pack(items, 100).collect())
     assert rows == [("a", 0, 0, 100), ("a", 1, 100, 100), ("a", 2, 200, 50), ("b", 0, 0, 100), ("c", 0, 0, 0)]
     assert packing.pack(items.limit(0), 100).count() == 0
