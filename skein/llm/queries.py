@@ -75,11 +75,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_shares(subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), with_labelled=True))
+    return subjects.subject_shares(subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"), with_labelled=True))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}

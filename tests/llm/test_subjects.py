@@ -73,3 +73,25 @@ def test_choice():
     assert subjects.chosen(20, Counter(a=18, b=1), 0.08) == ["a"]
     assert subjects.chosen(20, Counter(a=10, b=2), 0.08) == ["a", "b"]
     assert subjects.chosen(20, Counter(), 0.08) == ["general"]
+
+
+def test_only_permitted_subjects(spark):
+    rng = random.Random(8)
+    docs, labels = corpus(rng)
+    docs += [(i, doc(rng, "sport"), "x") for i in range(200, 210)] + [(i, doc(rng, "law"), "x") for i in range(210, 220)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    l = spark.createDataFrame(labels, "doc_id long, subject string")  # noqa: E741
+    areas = spark.createDataFrame([("law", "x"), ("food", "x"), ("general", "x")], "subject string, description string")
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subjects_of(d, l, areas).where("doc_id >= 210").collect()}
+    assert got == {(i, "law") for i in range(210, 220)}
+    assert {r["subject"] for r in subjects.subjects_of(d, l, areas).collect()} <= {"law", "food", "general"}
+
+
+def test_mining_a_very_long_repeated_sentence(spark):
+    rng = random.Random(2)
+    docs, labels = corpus(rng)
+    long = " ".join(f"court{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    docs += [(i, long + ".", "x") for i in range(400, 410)]
+    labels += [(i, "law") for i in range(400, 410)]
+    docs += [(500, long, "x")]
+    assert run(spark, docs, labels)[500] == {"law"}
