@@ -41,6 +41,10 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(bodies, "doc")
 
 
+def p4_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    return split.rejoined(p4_pieces(spark, d))
+
+
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return balance.balanced_sample(table(spark, d, "distill_records"), table(spark, d, "sample_targets"))
 
@@ -54,6 +58,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d)[1]
 
 
+def p5_needs(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the report that do not depend on the draw."""
+    return _p5(spark, d)[1].select("source_id", "selection_status", "pool_rows", "need", "missing")
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d)[0]
 
@@ -62,6 +71,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those whose ids decode to their text."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text") == F.col("back")).alias("equal"))
+
+
+def p2_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Judged ids that the evaluation splits share with the training split."""
+    return leakage.id_overlaps(table(spark, d, "qrels")).select("source_id", "split", "ekey", "tkey").distinct()
+
+
 def _p7_items(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count_tokens(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
 
@@ -82,4 +103,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_shares(subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"), with_labelled=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_report, p5_sample, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p2_ids, p3_found, p3_groups, p4_found, p4_pieces, p4_rejoined, p5_found, p5_needs, p5_report, p5_sample, p6_ids, p6_round_trip, p7_containers, p7_report, p8_found, p8_shares)}

