@@ -115,18 +115,24 @@ def scannable(path: Column, ignore: list[str] = ()) -> Column:
 
 
 def slug(path: Column) -> Column:
-    """A path of lower-case segments: runs of other characters become one hyphen; ``___`` separates
-    folders; the extension stays."""
-    parted = F.split(F.lower(F.replace(path, F.lit("___"), F.lit("/"))), "/")
+    """A path in which runs of other characters than letters, digits and ``$`` are one hyphen and symbols (emoji) their
+    hexadecimal code points; ``___`` separates folders; case and extension stay."""
+    parted = F.split(F.replace(path, F.lit("___"), F.lit("/")), "/")
+    symbol = r"[\p{So}\p{Sk}]"
+
+    def coded(segment: Column) -> Column:
+        apart = F.regexp_replace(F.regexp_replace(segment, r"(\p{So})\p{Mn}", "$1"), rf"({symbol})(?={symbol})", "$1-")
+        chars = F.regexp_extract_all(apart, F.lit("(?s)."), F.lit(0))
+        return F.when(segment.rlike(symbol), F.array_join(F.transform(chars, lambda c: F.when(c.rlike(symbol), F.lower(F.hex(F.ascii(c)))).otherwise(c)), "")).otherwise(segment)
 
     def clean(segment: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(segment, r"[^\p{L}\p{N}$]+", "-"), "^-+|-+$", "")
 
     n = F.size(parted)
-    last = F.element_at(parted, -1)
-    ext = F.regexp_extract(last, r"(\.[a-z0-9]+)$", 1)
+    last = coded(F.element_at(parted, -1))
+    ext = F.regexp_extract(last, r"(\.[A-Za-z0-9]+)$", 1)
     stem = F.when(ext != "", F.substring(last, F.lit(1), F.length(last) - F.length(ext))).otherwise(last)
-    folders = F.filter(F.transform(F.slice(parted, F.lit(1), n - 1), clean), lambda s: s != "")
+    folders = F.filter(F.transform(F.slice(parted, F.lit(1), n - 1), lambda x: clean(coded(x))), lambda x: x != "")
     return F.array_join(F.concat(folders, F.array(F.concat(clean(stem), ext))), "/")
 
 

@@ -64,7 +64,7 @@ def distinct_queries(df: DataFrame, query: str) -> DataFrame:
     return df.select(text.alias("id"), text.alias("text")).where("text <> ''").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``node, root`` of the nodes of ``a, b``: connected components named by their smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which need few rounds and keep no
@@ -83,6 +83,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = after
         if same:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
@@ -151,25 +153,6 @@ def split_families(families: DataFrame, seed: str = "0", shares: tuple = SHARES)
     return dealt.select("family", "size", F.expr("splits[cast((rank - first) % size(splits) as int)]").alias("split"))
 
 
-def split_by_running_share(families: DataFrame, seed: str = "0", shares: tuple = SHARES) -> DataFrame:
-    """``family, size, split``: whole families are dealt to splits, in the order of a seeded hash, by their running share of
-    all rows. families: ``family, size``."""
-    order = F.sha2(F.concat_ws("\u0000", F.lit(seed), F.col("family").cast("string")), 256)
-    keyed = families.withColumn("h", order)
-    total = keyed.agg(F.sum("size")).first()[0] or 1
-    # running sums in two levels, so that no window holds all families
-    part = F.substring("h", 1, 3)
-    offsets = keyed.groupBy(part.alias("p")).agg(F.sum("size").alias("s"))
-    before = offsets.withColumn("before", F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).drop("s")
-    running = F.sum("size").over(W.partitionBy("p").orderBy("h", "family").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    at = keyed.withColumn("p", part).withColumn("r", running).join(F.broadcast(before), "p").withColumn("f", (F.col("r") + F.col("before")) / total)
-    edge, split = 0.0, None
-    for name, share in shares:
-        edge += share
-        split = F.when(F.col("f") < edge - 1e-12, name) if split is None else split.when(F.col("f") < edge - 1e-12, name)
-    return at.select("family", "size", split.otherwise(shares[-1][0]).alias("split"))
-
-
 def resolve_collisions(rows: DataFrame, text: str, split: str, order: tuple = ("test", "dev", "train")) -> DataFrame:
     """Rows whose split is the first in ``order`` of all splits that have the same text."""
     rank = F.coalesce(*[F.when(F.col(split) == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
@@ -272,8 +255,8 @@ def judgement_audit(qrels: DataFrame) -> DataFrame:
     )
 
 
-#: Words of negation.
-NEGATION = r"\b(not|no|never|none|without|except|excluding|isn't|aren't|don't|doesn't|can't|won't|lacks?|fails?|neither|nor)\b"
+#: Patterns of negation.
+NEGATION = r"\b(?:no|not|without|lack(?:s|ed|ing)?|neither|nor|fail(?:s|ed|ing)?\s+to|unable\s+to)\b"
 
 
 def lost_negation(query: Column, expansion: Column) -> Column:
@@ -302,11 +285,36 @@ def golden_scores(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     return hits.join(g.groupBy("id").agg(F.count(F.lit(1)).alias("wanted")), "id", "full").fillna(0)
 
 
-def render_document(title: Column, body: Column, code: Column) -> Column:
-    """A heading and the body, or the body in a fence longer than any run of backticks in it."""
-    runs = F.transform(F.regexp_extract_all(body, F.lit("`+"), F.lit(0)), lambda r: F.length(r))
+def render_document(heading: Column, body: Column, fenced: Column) -> Column:
+    """A heading (if it is not blank), then the body with line feeds only, in a fence longer than any run of backticks in it where
+    ``fenced``; a line feed ends it."""
+    text = F.regexp_replace(body, "\r\n?", "\n")
+    runs = F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda r: F.length(r))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return F.when(code, F.concat(fence, F.lit("\n"), body, F.lit("\n"), fence)).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
+    top = F.when(F.trim(heading) != "", F.concat(F.lit("# "), heading, F.lit("\n\n"))).otherwise("")
+    return F.concat(top, F.when(fenced, F.concat(fence, F.lit("\n"), text, F.lit("\n"), fence)).otherwise(text), F.lit("\n"))
+
+
+#: Words that make a query temporal, comparing or personal.
+TEMPORAL = ["latest", "recent", "new", "update", "changelog", "changed", "version", "release", "news", "2024", "2025"]
+COMPARING = ["difference", "vs", "versus", "compare"]
+PERSONAL = ["meeting", "notes", "journal", "ideas", "thoughts"]
+
+
+def query_category(query: Column) -> Column:
+    """The first category that fits: few words, a capital at a word's start, words of time, how, what, comparison, personal notes."""
+    low, one = F.lower(query), lambda words: "|".join(words)
+    words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
+    return (
+        F.when(words <= 2, "short_keyword")
+        .when(query.rlike(r"(?:^|\s)\p{Lu}"), "named_entity")
+        .when(low.rlike(one(TEMPORAL)), "temporal")
+        .when(low.startswith("how "), "how_to")
+        .when(low.startswith("what "), "what_is")
+        .when(low.rlike(one(COMPARING)), "comparison")
+        .when(low.rlike(one(PERSONAL)), "personal")
+        .otherwise("other")
+    )
 
 
 def select_families(families: DataFrame, target: int, seed: str) -> DataFrame:

@@ -91,12 +91,14 @@ def without_context(documents: DataFrame, contexts: DataFrame) -> DataFrame:
     return top.join(have, ["collection", "top"], "left_anti").join(whole, "collection", "left_anti")
 
 
-def fingerprint(rows: DataFrame, columns: list[str], buckets: int = 1024) -> DataFrame:
-    """One ordered digest of a table: rows' digests are hashed per bucket in order, then the buckets'."""
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One digest of a table, whatever the order of its rows: the rows' digests are summed as eight numbers of 32 bits (so partial sums
+    combine before the shuffle and no task holds a list), and the sums and the number of rows are hashed."""
     digest = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in columns]), 256)
-    d = rows.select(digest.alias("d")).withColumn("b", F.pmod(F.conv(F.substring("d", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    by = d.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("d"))
-    return by.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+    d = rows.select(digest.alias("d"))
+    parts = [F.sum(F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(8)]
+    sums = d.agg(F.count(F.lit(1)).alias("n"), *parts)
+    return sums.select(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(8)]), 256).alias("fingerprint"))
 
 
 def embed(chunks: DataFrame, embed_texts, text_col: str = "chunk", dim: int | None = None) -> DataFrame:
@@ -122,12 +124,31 @@ def embed(chunks: DataFrame, embed_texts, text_col: str = "chunk", dim: int | No
     return chunks.join(distinct, text_col)
 
 
-def batches(rows: DataFrame, order: str, size_col: str, partition: list[str], max_rows: int = 64, max_bytes: int = 64 << 20) -> DataFrame:
-    """Adds ``batch``: consecutive rows of a partition, cut by row count and by summed size."""
-    w = W.partitionBy(*partition).orderBy(order)
-    n = F.floor((F.row_number().over(w) - 1) / max_rows)
-    b = F.floor((F.sum(size_col).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1) / max_bytes)
-    return rows.withColumn("batch", n + b)
+#: Ids of one block of :func:`batches`; a task cuts one block.
+BLOCK_IDS = 1 << 16
+
+
+def batches(rows: DataFrame, order: str, size_col: str, partition: list[str], max_rows: int = 64, max_bytes: int = 64 << 20, block: int = BLOCK_IDS) -> DataFrame:
+    """``partition, block, order, batch``: consecutive rows, a new batch where one more row would exceed the count or the summed size.
+
+    Each cut depends on the one before, so rows are cut in blocks of ``block`` consecutive integers of ``order``,
+    which bounds what a task holds however many rows a partition has; a batch never spans two blocks.
+    """
+    kinds = dict(rows.dtypes)
+    keyed = rows.select(*partition, F.floor(F.col(order) / block).cast("long").alias("block"), order, F.greatest(F.col(size_col), F.lit(0)).cast("long").alias("__size"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        out, count, used, number = [], 0, 0, 0
+        for size in pdf["__size"]:
+            if count and (count >= max_rows or used + size > max_bytes):
+                count, used, number = 0, 0, number + 1
+            out.append(number)
+            count, used = count + 1, used + size
+        return pdf.drop(columns="__size").assign(batch=out)
+
+    layout = ", ".join([*(f"{c} {kinds[c]}" for c in partition), "block long", f"{order} {kinds[order]}", "batch long"])
+    return keyed.groupBy(*partition, "block").applyInPandas(run, layout)
 
 
 def self_check(vectors: DataFrame, chunks: DataFrame, embed_texts, n: int = 20, seed: int = 3, tolerance: float = 1e-4) -> DataFrame:

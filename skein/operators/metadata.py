@@ -334,7 +334,8 @@ def key_window(entries: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
     counted = entries.groupBy("key").agg(F.count_distinct("doc").alias("documents"))
     order = W.orderBy(F.desc("documents"), "key")
     ranked = counted.withColumn("position", F.row_number().over(order)).withColumn("total_keys", F.count(F.lit(1)).over(W.partitionBy()))
-    return ranked.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    page = (F.col("position") > offset) & (F.col("position") <= offset + limit)
+    return ranked.withColumn("in_page", page).where("in_page or position = 1")
 
 
 def type_stats(entries: DataFrame, collections: DataFrame | None = None) -> DataFrame:
@@ -352,12 +353,14 @@ def number_ranges(entries: DataFrame) -> DataFrame:
 
 
 def value_counts(entries: DataFrame, limit: int = 10, offset: int = 0, least: int = 1, by_count: bool = True) -> DataFrame:
-    """``key, value_type, value, documents, position, distinct_values`` within each key and type."""
+    """``key, value_type, value, documents, position, distinct_values, in_page`` within each key and type; the first value
+    stays (outside the page) so that the totals of a key survive a page out of range."""
     counted = entries.select("doc", "key", "value_type", value_column().alias("value")).groupBy("key", "value_type", "value").agg(F.count_distinct("doc").alias("documents")).where(F.col("documents") >= least)
     part = W.partitionBy("key", "value_type")
     order = [F.desc("documents"), F.col("value")] if by_count else [F.col("value")]
     ranked = counted.withColumn("position", F.row_number().over(part.orderBy(*order))).withColumn("distinct_values", F.count(F.lit(1)).over(part))
-    return ranked.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    page = (F.col("position") > offset) & (F.col("position") <= offset + limit)
+    return ranked.withColumn("in_page", page).where("in_page or position = 1")
 
 
 def collection_summaries(entries: DataFrame, collections: DataFrame, keys: int = 5) -> DataFrame:

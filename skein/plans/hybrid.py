@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import INTENT_STOP_WORDS
 from ..operators import chunking, expansion, fusion, lexical, maintenance, metadata, retrieval, vector
 from ..operators.expansion import SubQuery, parse_document
 from ..session import materialize
@@ -25,6 +27,12 @@ def word_overlap(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
+def intent_words(intent: str | None) -> list[str]:
+    """The terms of an intent that count in the choice of a passage."""
+    words = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in (intent or "").lower().split()]
+    return [w for w in words if len(w) > 1 and w not in INTENT_STOP_WORDS]
+
+
 class Store:
     """Documents ``doc, collection, path, title, hash, body, modified_at, active``, optional vectors
     (``doc, chunk, embedding``) and metadata entries; models are plain functions on batches."""
@@ -122,11 +130,13 @@ class Store:
                 continue
             part = found.select(F.lit("q").alias("qid"), F.lit(i).alias("list"), (F.col("rank") - 1).alias("rank0"), "doc", F.lit(i < (2 if self.embed else 1)).alias("original"))
             lists = part if lists is None else lists.unionByName(part)
+        if lists is None:  # nothing that this store can run
+            return self.documents.limit(0).select("doc", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.col("path").alias("display_path"), "title", F.lit(0).alias("snippet_pos"))
         fused = materialize(fusion.reciprocal_rank_fusion(fusion.list_weights(lists, structured), CANDIDATES), "fused")  # at most CANDIDATES rows
         primary = next((q.text for q in subs if q.kind == "lex"), subs[0].text)
         shown = primary if not intent else f"{intent}\n\n{primary}"
         bodies = self.documents.join(F.broadcast(fused.select("doc")), "doc")
-        passages = chunking.best_passage(chunking.chunk_documents(bodies, "doc", "body", "path"), primary).select(F.col("id").alias("doc"), "pos", "chunk")
+        passages = chunking.best_passage(chunking.chunk_documents(bodies, "doc", "body", "path"), primary, intent_words(intent)).select(F.col("id").alias("doc"), "pos", "chunk")
         cand = fused.join(passages, "doc", "left").withColumn("chunk", F.coalesce("chunk", F.lit("")))
         if reranked:
             scored = fusion.fuse_rerank(fusion.rerank(cand.withColumn("query", F.lit(shown)), self.rerank))

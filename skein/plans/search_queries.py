@@ -20,6 +20,8 @@ LEXICAL = [
     ("accents", "trésorerie"),
     ("cjk", "望遠鏡"),
 ]
+#: Queries that the scope of :func:`bm25_scoped` answers at every size.
+SCOPED = [("one", "ledger"), ("prefix", "budg"), ("exclude", "meeting -budget")]
 FIELDS = {"path": "path", "title": "title", "body": "text"}
 
 
@@ -47,7 +49,7 @@ def bm25_all(spark: SparkSession, d: str) -> DataFrame:
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Matches within a set of collections, scored by the statistics of all."""
     docs = active_documents(spark, d)
-    queries = LEXICAL[:2]
+    queries = SCOPED
     index = lexical.direct_index(docs, "doc_id", FIELDS, [q for _, q in queries])
     scope = docs.where("source = 'handbook'").select(F.col("doc_id").alias("doc"))
     return lexical.search(spark, index, queries, scope).select("qid", F.col("doc").alias("doc_id"), F.round("score", 9).alias("score"))
@@ -375,9 +377,10 @@ def expansion_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expansion_strict(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "query_expansion_contract_v1").dropDuplicates(["record_id"])
-    out = expansion.strict_output(expansion.parsed_lines(F.col("raw_model_output")))
-    return rows.select("record_id", F.size(out).alias("n")).where("n > 0")
+    """Training outputs without their lexical lines that are exactly one passage and then one or two questions."""
+    rows = table(spark, d, "qmd_expansion_locations").where("record_id is not null").select("record_id", "output").distinct()
+    lines = expansion.normal_output(F.filter("output", lambda e: F.lower(F.trim(F.get(e, F.lit(0)))) != "lex"))
+    return rows.select("record_id", F.size(expansion.strict_output(expansion.parsed_lines(lines))).alias("n")).where("n > 0")
 
 
 _LINES = r"""
@@ -404,7 +407,7 @@ QUERIES |= {f"format_{n}": formatted(n) for n in ("csv", "xml", "files", "md")}
 SQL = {
     "bm25_top": bm25_sql() + "SELECT qid, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20",
     "bm25_all": bm25_sql() + "SELECT qid, doc_id, score FROM scored",
-    "bm25_scoped": bm25_sql(LEXICAL[:2], "source = 'handbook'") + "SELECT qid, doc_id, score FROM scored",
+    "bm25_scoped": bm25_sql(SCOPED, "source = 'handbook'") + "SELECT qid, doc_id, score FROM scored",
     "token_statistics": f"SELECT source AS collection, count(*) AS n_tokens, count(DISTINCT term) AS terms FROM (SELECT source, unnest({tokens_sql('text')}) AS term FROM documents WHERE active AND doc_id IS NOT NULL) GROUP BY source",
     "term_frequencies": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql('text')})) AS term FROM documents WHERE active AND doc_id IS NOT NULL) GROUP BY term HAVING count(*) > 1",
     "knn": _KNN.format("") + _KNN_TOP.format(10),
@@ -449,8 +452,14 @@ SQL = {
       all_ AS (SELECT * FROM kept UNION ALL SELECT record_id, query, 'hyde', 'Information about ' || query FROM rows_ WHERE record_id NOT IN (SELECT record_id FROM kept)
         UNION ALL SELECT record_id, query, unnest(['lex', 'vec']), query FROM rows_ WHERE record_id NOT IN (SELECT record_id FROM kept))
       SELECT DISTINCT record_id, kind, text FROM all_ WHERE query IS NOT NULL AND trim(text) <> trim(query)""",
-    "expansion_strict": _LINES
-    + """SELECT record_id, CAST(count(*) AS INT) AS n FROM lines GROUP BY record_id HAVING count(problem) = 0 AND string_agg(coalesce(kind, '?'), ',' ORDER BY line) IN ('hyde,vec', 'hyde,vec,vec')""",
+    "expansion_strict": r"""WITH r AS (SELECT DISTINCT record_id, output FROM qmd_expansion_locations WHERE record_id IS NOT NULL),
+      k AS (SELECT record_id, list_filter(list_transform(output, lambda e: {'k': lower(trim(e[1])), 't': trim(e[2])}), lambda e: e.k IN ('hyde', 'vec') AND coalesce(e.t, '') <> '') AS o FROM r),
+      c AS (SELECT record_id, len(list_filter(o, lambda e: e.k = 'hyde')) AS h, len(list_filter(o, lambda e: e.k = 'vec')) AS v, len(list_filter(o, lambda e: contains(e.t, chr(10)))) AS broken FROM k)
+      SELECT record_id, CAST(h + v AS INT) AS n FROM c WHERE h = 1 AND v BETWEEN 1 AND 2 AND broken = 0""",
+    "slugs": r"""WITH p AS (SELECT doc_id, string_split(replace(path, '___', '/'), '/') AS s FROM documents WHERE active AND doc_id IS NOT NULL AND path IS NOT NULL),
+      e AS (SELECT doc_id, s[:-2] AS folders, s[-1] AS last, regexp_extract(s[-1], '(\.[A-Za-z0-9]+)$', 1) AS ext FROM p)
+      SELECT doc_id, array_to_string(list_append(list_filter(list_transform(folders, lambda x: regexp_replace(regexp_replace(x, '[^\p{L}\p{N}$]+', '-', 'g'), '^-+|-+$', '', 'g')), lambda x: x <> ''),
+        regexp_replace(regexp_replace(substring(last, 1, length(last) - length(ext)), '[^\p{L}\p{N}$]+', '-', 'g'), '^-+|-+$', '', 'g') || ext), '/') AS slug FROM e""",
     "format_csv": _RESULTS + f"SELECT docid, '#' || docid || ',' || printf('%.4f', floor(score * 10000 + 0.5) / 10000) || ',' || {_csv('file')} || ',' || {_csv('title')} || ',' || {_csv('context')} || ',1,' || {_csv('snippet')} AS row FROM r",
     "format_files": _RESULTS + "SELECT docid, '#' || docid || ',' || printf('%.2f', score) || ',' || file || CASE WHEN context IS NULL THEN '' ELSE ',\"' || replace(context, '\"', '\"\"') || '\"' END AS row FROM r",
     "format_xml": _RESULTS

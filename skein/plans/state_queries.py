@@ -256,7 +256,7 @@ def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of at most 64 documents and 64 KB, per language."""
     docs = _documents(spark, d).where("active and text is not null and lang is not null").select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes"))
     b = maintenance.batches(docs, "doc_id", "bytes", ["lang"], 64, 64 << 10)
-    return b.groupBy("lang").agg(F.count_distinct("batch").alias("batches"))
+    return b.groupBy("lang", "block", "batch").agg(F.count(F.lit(1)).alias("documents"))
 
 
 # ---- metrics over judgements ---------------------------------------------------------------------------
@@ -334,9 +334,9 @@ def query_families(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Whole collections dealt to splits by a seeded hash."""
-    fam = _documents(spark, d).groupBy(F.col("collection").alias("family")).agg(F.count(F.lit(1)).alias("size"))
-    return curation.split_by_running_share(fam, "7")
+    """Whole collections dealt to splits, largest first, each to the one that lacks most rows."""
+    fam = _documents(spark, d).where("collection is not null").groupBy(F.col("collection").alias("family")).agg(F.count(F.lit(1)).alias("size"))
+    return curation.split_families(fam, "7")
 
 
 def query_family_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -433,12 +433,16 @@ def judgement_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negation_lost(spark: SparkSession, d: str) -> DataFrame:
-    """Training records of all expansion tables whose query negates although no entry of its expansion does."""
+    """Entries of all expansion tables that do not negate although their query does."""
     found = None
-    for name, output in (("qmd_expansion_locations", "output"), ("qmd_expansion_personal_entities", "output"), ("qmd_expansion_sports", "output"), ("query_expansion_contract_v1", "raw_model_output")):
-        said = F.col(output) if output == "raw_model_output" else F.array_join(F.flatten(F.filter(output, lambda e: e.isNotNull())), "\n")
-        rows = table(spark, d, name).where("record_id is not null").where(curation.lost_negation(F.col("query"), said))
-        part = rows.select(F.lit(name).alias("table_name"), F.col("record_id").cast("string").alias("record_id")).distinct()
+    for name in ("qmd_expansion_locations", "qmd_expansion_personal_entities", "qmd_expansion_sports", "query_expansion_contract_v1"):
+        rows = table(spark, d, name).where("record_id is not null").where(F.lower("query").rlike(curation.NEGATION))
+        if name == "query_expansion_contract_v1":
+            texts = F.transform(expansion.usable(expansion.parsed_lines(F.col("raw_model_output"))), lambda e: e["text"])
+        else:
+            texts = F.transform(F.filter("output", lambda e: e.isNotNull()), lambda e: F.get(e, F.lit(1)))
+        rows = rows.select(F.lit(name).alias("table_name"), F.col("record_id").cast("string").alias("record_id"), "query", F.explode(texts).alias("text"))
+        part = rows.where("text is not null").where(curation.lost_negation(F.col("query"), F.col("text"))).select("table_name", "record_id", "text").distinct()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -450,18 +454,19 @@ def normal_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of documents rendered with a heading, or fenced where they hold code."""
+    """Digests of documents rendered with their title, or with their id and fenced where they hold code."""
     docs = _documents(spark, d).where("text is not null")
-    out = curation.render_document(F.coalesce("title", F.lit("")), F.col("text"), F.col("text").contains("```"))
-    return docs.select("doc_id", F.sha2(out, 256).alias("digest"))
+    code = F.col("text").contains("```")
+    heading = F.when(code, F.col("doc_id").cast("string")).otherwise(F.coalesce("title", F.lit("")))
+    return docs.select("doc_id", F.sha2(curation.render_document(heading, F.col("text"), code), 256).alias("digest"))
 
 
 def query_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Training queries by number of words and category."""
-    rows = table(spark, d, "qmd_expansion_locations").select("record_id", "query", "category").distinct().where("query is not null")
-    words = F.size(F.filter(F.split(T.normal_query(F.col("query")), " "), lambda w: w != ""))
-    size = F.when(words <= 3, "short").when(words <= 8, "medium").otherwise("long")
-    return rows.groupBy(size.alias("size"), F.trim(F.lower(F.coalesce("category", F.lit("?")))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Training queries by category and length."""
+    rows = table(spark, d, "qmd_expansion_locations").select("record_id", "query").distinct().where("query is not null")
+    words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
+    size = F.when(words <= 2, "short").when(words <= 5, "medium").otherwise("long")
+    return rows.groupBy(curation.query_category(F.col("query")).alias("category"), size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def intent_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -507,8 +512,8 @@ SQL |= {
     "metadata_types": _ENTRIES + "SELECT key, value_type, count(DISTINCT doc) AS documents, max(ordinal) > 0 AS multi_valued, array_to_string(list_sort(list(DISTINCT collection)), ',') AS collections FROM e JOIN docs USING (doc) GROUP BY key, value_type",
     "metadata_ranges": _ENTRIES + "SELECT key, min(number_value) AS low, quantile_cont(number_value, 0.5) AS median, max(number_value) AS high FROM e WHERE value_type = 'number' GROUP BY key",
     "metadata_values": _ENTRIES
-    + """SELECT * FROM (SELECT key, value_type, text_value AS value, count(DISTINCT doc) AS documents, row_number() OVER (PARTITION BY key, value_type ORDER BY count(DISTINCT doc) DESC, text_value) AS position,
-      count(*) OVER (PARTITION BY key, value_type) AS distinct_values FROM e WHERE value_type = 'string' GROUP BY key, value_type, text_value HAVING count(DISTINCT doc) >= 2) WHERE position > 1 AND position <= 6""",
+    + """SELECT *, position > 1 AND position <= 6 AS in_page FROM (SELECT key, value_type, text_value AS value, count(DISTINCT doc) AS documents, row_number() OVER (PARTITION BY key, value_type ORDER BY count(DISTINCT doc) DESC, text_value) AS position,
+      count(*) OVER (PARTITION BY key, value_type) AS distinct_values FROM e WHERE value_type = 'string' GROUP BY key, value_type, text_value HAVING count(DISTINCT doc) >= 2) WHERE position <= 6""",
     "metadata_summaries": _ENTRIES
     + """SELECT * FROM (SELECT collection, key, count(*) AS documents, count(*) OVER (PARTITION BY collection) AS total_keys, row_number() OVER (PARTITION BY collection ORDER BY count(*) DESC, key) AS position
       FROM e JOIN docs USING (doc) WHERE ordinal = 0 GROUP BY collection, key) WHERE position <= 3""",
@@ -537,9 +542,13 @@ SQL |= {
       SELECT documents, pending, days_stale, pending >= 0.1 * documents AS warn_pending, days_stale >= 14 AS warn_stale FROM x""",
     "newest_results": "SELECT hash, max(created_at) AS created_at FROM documents WHERE hash IS NOT NULL GROUP BY hash ORDER BY 2 DESC, hash LIMIT 1000",
     "top_folders": "SELECT DISTINCT source AS collection, string_split(path, '/')[1] AS top FROM documents WHERE active AND doc_id IS NOT NULL AND path IS NOT NULL AND source <> 'vault-crovivi' AND NOT (source = 'handbook' AND string_split(path, '/')[1] = 'notes')",
-    "embedding_batches": """WITH t AS (SELECT lang, doc_id, CAST(strlen(text) AS BIGINT) AS b FROM documents WHERE active AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL),
-      r AS (SELECT lang, floor((row_number() OVER w - 1) / 64) + floor((sum(b) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1) / 65536) AS batch FROM t WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
-      SELECT lang, count(DISTINCT batch) AS batches FROM r GROUP BY lang""",
+    "embedding_batches": """WITH RECURSIVE t AS (SELECT lang, CAST(floor(doc_id / 65536) AS BIGINT) AS block, CAST(strlen(text) AS BIGINT) AS b, row_number() OVER (PARTITION BY lang, floor(doc_id / 65536) ORDER BY doc_id) AS n
+        FROM documents WHERE active AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL),
+      g AS (SELECT lang, block, n, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS k, b AS used FROM t WHERE n = 1
+        UNION ALL SELECT t.lang, t.block, t.n, CASE WHEN g.k >= 64 OR g.used + t.b > 65536 THEN g.batch + 1 ELSE g.batch END,
+          CASE WHEN g.k >= 64 OR g.used + t.b > 65536 THEN 1 ELSE g.k + 1 END, CASE WHEN g.k >= 64 OR g.used + t.b > 65536 THEN t.b ELSE g.used + t.b END
+        FROM g JOIN t ON t.lang = g.lang AND t.block = g.block AND t.n = g.n + 1)
+      SELECT lang, block, batch, count(*) AS documents FROM g GROUP BY lang, block, batch""",
     "retrieval_metrics": _METRICS + "SELECT qid, round(precision_10, 9) AS precision_10, round(recall, 9) AS recall, round(recall_1, 9) AS recall_1, round(recall_3, 9) AS recall_3, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(recall_20, 9) AS recall_20, round(recall_30, 9) AS recall_30, round(mrr, 9) AS mrr, round(mrr_10, 9) AS mrr_10, round(f1, 9) AS f1, round(ndcg_10, 9) AS ndcg_10 FROM m",
     "macro_metrics": _METRICS + "SELECT string_split(qid, '|')[1] AS split, count(*) AS queries, round(avg(precision_10), 9) AS precision_10, round(avg(recall), 9) AS recall, round(avg(recall_1), 9) AS recall_1, round(avg(recall_5), 9) AS recall_5, round(avg(mrr_10), 9) AS mrr_10, round(avg(f1), 9) AS f1, round(avg(ndcg_10), 9) AS ndcg_10 FROM m GROUP BY 1",
     "hit_rates": """WITH e AS (SELECT DISTINCT case_id, expected_doc, difficulty FROM eval_deep_research WHERE case_id IS NOT NULL AND expected_doc IS NOT NULL AND difficulty IS NOT NULL),
@@ -576,8 +585,10 @@ SQL |= {
       UNION ALL SELECT 'null_id', count(*) FROM qrels WHERE query_id IS NULL OR corpus_id IS NULL UNION ALL SELECT 'without_relevant', count(*) FROM q WHERE coalesce(b, 0) < 1""".replace("AS check", 'AS "check"'),
     "normal_outputs": """SELECT record_id, array_to_string(list_transform(list_sort(list_filter(list_transform(output, lambda e, i: {'kind': lower(trim(e[1])), 'i': i, 'text': trim(e[2])}),
       lambda s: s.kind IN ('lex', 'vec', 'hyde') AND coalesce(s.text, '') <> '')), lambda s: s.kind || ': ' || s.text), chr(10)) AS lines FROM (SELECT DISTINCT record_id, output FROM qmd_expansion_locations WHERE record_id IS NOT NULL)""",
-    "rendered_documents": """WITH t AS (SELECT doc_id, text, coalesce(title, '') AS title, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0) + 1)) AS f FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
-      SELECT doc_id, sha256(CASE WHEN contains(text, '```') THEN f || chr(10) || text || chr(10) || f ELSE '# ' || title || chr(10) || chr(10) || text END) AS digest FROM t""",
+    "rendered_documents": r"""WITH u AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text, coalesce(title, '') AS title FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+      t AS (SELECT *, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0) + 1)) AS f FROM u)
+      SELECT doc_id, sha256(CASE WHEN contains(text, '```') THEN '# ' || doc_id || chr(10) || chr(10) || f || chr(10) || text || chr(10) || f || chr(10)
+        ELSE CASE WHEN trim(title) <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || text || chr(10) END) AS digest FROM t""",
     "intent_terms": r"""SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(regexp_split_to_array(trim(lower(intent)), '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')),
       lambda w: length(w) > 1 AND w NOT IN (""".replace("\\\\", "\\") + ", ".join(f"'{w}'" for w in T.INTENT_STOP_WORDS) + """))) AS term FROM qmd_expansion_locations WHERE intent IS NOT NULL) GROUP BY term""",
     "front_matter": _FRONT + r"""SELECT doc_id, 'status' AS key, 'string' AS value_type, regexp_extract(b, '\n +status: +(\w+)', 1) AS value FROM f WHERE regexp_matches(b, '\n +status: +\w')
@@ -587,12 +598,24 @@ SQL |= {
       c AS (SELECT record_id, string_agg(kind || ': ' || lower(text), chr(10) ORDER BY kind || ': ' || lower(text)) AS canon FROM lines WHERE text IS NOT NULL GROUP BY record_id),
       g AS (SELECT input_key, count(*) AS "rows", count(DISTINCT raw) AS raws, count(DISTINCT canon) AS variants FROM k LEFT JOIN c USING (record_id) GROUP BY input_key)
       SELECT input_key, "rows", variants, CASE WHEN variants = 0 THEN 'invalid' WHEN "rows" = 1 THEN 'unique' WHEN raws = 1 THEN 'identical' WHEN variants = 1 THEN 'format_only' ELSE 'conflict' END AS state FROM g""",
-    "table_fingerprint": """WITH d AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), chr(1)) || chr(0) || coalesce(source, chr(1)) || chr(0) || coalesce(path, chr(1)) || chr(0) || coalesce(hash, chr(1)) || chr(0) || coalesce(CAST(active AS VARCHAR), chr(1))) AS d FROM documents WHERE doc_id IS NOT NULL),
-      b AS (SELECT CAST('0x' || substring(d, 1, 8) AS BIGINT) % 1024 AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM d GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b""",
-    "family_splits": """WITH f AS (SELECT source AS family, CAST(count(*) AS BIGINT) AS size, sha256('7' || chr(0) || source) AS h FROM documents WHERE doc_id IS NOT NULL GROUP BY source),
-      r AS (SELECT family, size, (sum(size) OVER (ORDER BY h, family ROWS UNBOUNDED PRECEDING) - size) / sum(size) OVER () AS x FROM f)
-      SELECT family, size, CASE WHEN x < 0.7 - 1e-12 THEN 'train' WHEN x < 0.85 - 1e-12 THEN 'dev' ELSE 'test' END AS split FROM r""",
-    "query_categories": f"""SELECT CASE WHEN w <= 3 THEN 'short' WHEN w <= 8 THEN 'medium' ELSE 'long' END AS size, trim(lower(coalesce(category, '?'))) AS category, count(*) AS n FROM
-      (SELECT category, len(list_filter(string_split({_NORM}, ' '), lambda x: x <> '')) AS w FROM (SELECT DISTINCT record_id, query, category FROM qmd_expansion_locations WHERE query IS NOT NULL)) GROUP BY 1, 2""",
+    "table_fingerprint": """WITH d AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), chr(1)) || chr(0) || coalesce(source, chr(1)) || chr(0) || coalesce(path, chr(1)) || chr(0) || coalesce(hash, chr(1)) || chr(0) || coalesce(CAST(active AS VARCHAR), chr(1))) AS d FROM documents WHERE doc_id IS NOT NULL)
+      SELECT sha256(CAST(count(*) AS VARCHAR) || """ + " || ".join(f"',' || CAST(sum(CAST('0x' || substring(d, {1 + 8 * i}, 8) AS HUGEINT)) AS VARCHAR)" for i in range(8)) + """) AS fingerprint FROM d""",
+    "family_splits": """WITH RECURSIVE f AS (SELECT source AS family, CAST(count(*) AS BIGINT) AS size, sha256(chr(0) || '7' || chr(0) || source) AS h FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL GROUP BY source),
+      r AS (SELECT *, row_number() OVER (ORDER BY size DESC, h, family) AS n, sum(size) OVER () AS total FROM f),
+      g AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS family, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS split, CAST(max(total) AS DECIMAL(18, 2)) * 0.70 AS a, CAST(max(total) AS DECIMAL(18, 2)) * 0.15 AS b, CAST(max(total) AS DECIMAL(18, 2)) * 0.15 AS c FROM r
+        UNION ALL SELECT r.n, r.family, r.size, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'dev' ELSE 'test' END,
+          CASE WHEN a >= b AND a >= c THEN a - r.size ELSE a END, CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN b - r.size ELSE b END, CASE WHEN NOT (a >= b AND a >= c) AND NOT b >= c THEN c - r.size ELSE c END
+        FROM g JOIN r ON r.n = g.n + 1)
+      SELECT family, size, split FROM g WHERE n > 0""",
+    "query_categories": rf"""WITH q AS (SELECT query, lower(query) AS l, len(list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '')) AS w FROM (SELECT DISTINCT record_id, query FROM qmd_expansion_locations WHERE query IS NOT NULL))
+      SELECT CASE WHEN w <= 2 THEN 'short_keyword' WHEN regexp_matches(query, '(?:^|\s)\p{{Lu}}') THEN 'named_entity' WHEN regexp_matches(l, '{"|".join(curation.TEMPORAL)}') THEN 'temporal' WHEN starts_with(l, 'how ') THEN 'how_to'
+        WHEN starts_with(l, 'what ') THEN 'what_is' WHEN regexp_matches(l, '{"|".join(curation.COMPARING)}') THEN 'comparison' WHEN regexp_matches(l, '{"|".join(curation.PERSONAL)}') THEN 'personal' ELSE 'other' END AS category,
+        CASE WHEN w <= 2 THEN 'short' WHEN w <= 5 THEN 'medium' ELSE 'long' END AS size, count(*) AS n FROM q GROUP BY 1, 2""",
+    "negation_lost": _LINES + rf""", n AS (SELECT '{curation.NEGATION}' AS p),
+      e AS (SELECT 'qmd_expansion_locations' AS table_name, record_id, query, unnest(output) AS x FROM qmd_expansion_locations WHERE record_id IS NOT NULL
+        UNION ALL SELECT 'qmd_expansion_personal_entities', CAST(record_id AS VARCHAR), query, unnest(output) FROM qmd_expansion_personal_entities WHERE record_id IS NOT NULL
+        UNION ALL SELECT 'qmd_expansion_sports', CAST(record_id AS VARCHAR), query, unnest(output) FROM qmd_expansion_sports WHERE record_id IS NOT NULL
+        UNION ALL SELECT 'query_expansion_contract_v1', CAST(r.record_id AS VARCHAR), query, [kind, text] FROM rows_ r JOIN lines l ON r.record_id = l.record_id WHERE text IS NOT NULL AND r.record_id IS NOT NULL)
+      SELECT DISTINCT table_name, record_id, x[2] AS text FROM e, n WHERE x[2] IS NOT NULL AND regexp_matches(lower(query), p) AND NOT regexp_matches(lower(x[2]), p)""",
 }
 SQL = {k: v for k, v in SQL.items() if v}
