@@ -153,3 +153,30 @@ def embedding_document(text: Column, title: Column, instruct: bool = False) -> C
     if instruct:
         return F.when(title.isNotNull() & (title != ""), F.concat(title, F.lit("\n"), text)).otherwise(text)
     return F.concat(F.lit("title: "), F.coalesce(F.nullif(title, F.lit("")), F.lit("none")), F.lit(" | text: "), text)
+
+
+#: Words that do not count in :func:`term_jaccard`.
+TERM_STOP_WORDS = "the a an is are to for of in and or it this that be with as on by how what do does can you your i".split()
+
+
+def term_set(c: Column) -> Column:
+    """Distinct lower-case words of at least two characters that are no stop words."""
+    return F.filter(word_set(c), lambda w: (F.length(w) > 1) & ~w.isin(TERM_STOP_WORDS))
+
+
+def term_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two texts by their terms; 0 if either has none."""
+    x, y = term_set(a), term_set(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(jaccard(x, y))
+
+
+def canonical_json(value) -> str:
+    """A parsed JSON value with the keys of objects in order and no white space."""
+    import json
+
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True, allow_nan=False)
+
+
+def canonical_map(c: Column) -> Column:
+    """A map of strings as a JSON object with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import more_queries, search_queries, state_queries
+from . import catalog_queries, more_queries, search_queries, state_queries
 
-QUERIES: dict = {**search_queries.QUERIES, **state_queries.QUERIES, **more_queries.QUERIES}
-SQL: dict = {**search_queries.SQL, **state_queries.SQL, **more_queries.SQL}
+QUERIES: dict = {**search_queries.QUERIES, **state_queries.QUERIES, **more_queries.QUERIES, **catalog_queries.QUERIES}
+SQL: dict = {**search_queries.SQL, **state_queries.SQL, **more_queries.SQL, **catalog_queries.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
