@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import glob_regex, scannable, split_masks
 from ..functions.text import title_of
+from ..session import materialize
 
 #: Largest file, and the age below which a file's time is not yet trusted.
 MAX_BYTES, RACY_SECONDS = 10 * 1024 * 1024, 2
@@ -88,6 +89,37 @@ def deactivate_unseen(documents: DataFrame, seen: DataFrame, collection: str, ke
     return marked.withColumn("active", active).drop("__seen")
 
 
+def reindex(files: DataFrame, documents: DataFrame, content: DataFrame, manifest: DataFrame, collection: str, scanned_at) -> dict[str, DataFrame]:
+    """One scan of a collection: ``documents``, ``content`` and ``manifest`` after it, and ``counters`` (one row: indexed, updated,
+    unchanged, removed, skipped).
+
+    files: ``path, mtime, size, body``. Times and sizes are compared first, so bodies are only read (and hashed) of files that the
+    manifest does not vouch for. Files that are too large or hold white space only are retired. manifest: ``collection, path, mtime, size, hash``.
+    """
+    mine = manifest.where(F.col("collection") == collection)
+    seen = files.select(F.lit(collection).alias("collection"), "path", "mtime", "size")
+    trusted = seen.join(mine.select("path", "mtime", "size", "hash"), ["path", "mtime", "size"])
+    active = documents.where("active").select("collection", "path", "hash")
+    trusted = materialize(trusted.join(active, ["collection", "path", "hash"], "left_semi").select("collection", "path", "mtime", "size", "hash"), "trusted")
+    read = with_identity(gate(files.join(trusted.select("path"), "path", "left_anti")))
+    read = materialize(read.withColumn("collection", F.lit(collection)), "read")
+    fine = read.where("verdict = 'ok'")
+    changes = classify(fine, mine.join(trusted.select("collection", "path"), ["collection", "path"], "left_anti"))
+    counts = changes.agg(F.count_if(F.col("change") == "new").alias("indexed"), F.count_if(F.col("change") == "updated").alias("updated"), F.count_if(F.col("change").isin("touched", "unchanged")).alias("same"), F.count_if(F.col("change") == "removed").alias("removed"))
+    others = trusted.agg(F.count(F.lit(1)).alias("trusted")).crossJoin(read.agg(F.count_if(F.col("verdict") != "ok").alias("skipped")))  # one row each
+    counters = counts.crossJoin(others).select("indexed", "updated", (F.col("same") + F.col("trusted")).alias("unchanged"), "removed", "skipped")
+    incoming = fine.select("collection", "path", "title", "hash", F.lit(scanned_at).cast("timestamp").alias("created_at"), F.col("mtime").alias("modified_at"), F.lit(True).alias("active"))
+    stored = deactivate_unseen(upsert_documents(documents, incoming), trusted.select("collection", "path").union(fine.select("collection", "path")), collection)
+    bodies = new_content(content, fine.select("hash", F.col("body").alias("doc"), F.lit(scanned_at).cast("timestamp").alias("created_at")))
+    vouched = fine.select("collection", "path", trusted_time(F.col("mtime"), F.lit(scanned_at).cast("timestamp")).alias("mtime"), "size", "hash")
+    return {
+        "documents": stored,
+        "content": content.select("hash", "doc", "created_at").unionByName(bodies),
+        "manifest": manifest.where(F.col("collection") != collection).unionByName(trusted).unionByName(vouched),
+        "counters": counters,
+    }
+
+
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key by ``order``."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -121,14 +121,23 @@ def build_index(docs: DataFrame, doc: str, fields: dict[str, str], path: str | N
     spark = docs.sparkSession
     post, lens = postings(docs, doc, fields, stem), lengths(docs, doc, fields)
     if path is None:
-        post, lens = materialize(post, "postings"), materialize(lens, "lengths")
+        post = materialize(post.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), "postings")
+        lens = materialize(lens, "lengths")
     else:
         post.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
         lens.write.mode("overwrite").parquet(f"{path}/lengths")
-        post, lens = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        spark.createDataFrame([(stem,)], "stem boolean").write.mode("overwrite").parquet(f"{path}/kind")
+        return open_index(spark, path)
     return LexicalIndex(post, lens, *_stats(lens), stem)
 
 
+def open_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """An index that :func:`build_index` has written; nothing is read yet but its statistics. Postings are clustered by
+    term, so a search reads the row groups of its terms only."""
+    post, lens = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    return LexicalIndex(post, lens, *_stats(lens), spark.read.parquet(f"{path}/kind").first()["stem"])
+
+
 def direct_index(docs: DataFrame, doc: str, fields: dict[str, str], queries: list[str]) -> LexicalIndex:
     """An index of the given queries' terms only, straight from the documents: one scan in which each text
     is cut into tokens once; its length and the wanted tokens are all that is kept."""

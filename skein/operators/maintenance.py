@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Share of documents without vectors and days without change that warn; cache entries kept; occupancy below which vectors are repacked.
 WARN_SHARE, WARN_DAYS, CACHE_KEEP, REPACK_BELOW = 0.1, 14, 1000, 0.9
 
@@ -124,6 +126,28 @@ def embed(chunks: DataFrame, embed_texts, text_col: str = "chunk", dim: int | No
     return chunks.join(distinct, text_col)
 
 
+#: Tries of a failed text, and the share of failures that ends a run.
+ATTEMPTS, ABORT_SHARE = 3, 0.8
+
+
+def embed_with_retry(chunks: DataFrame, embed_texts, text_col: str = "chunk", dim: int | None = None, attempts: int = ATTEMPTS, abort_share: float = ABORT_SHARE) -> DataFrame:
+    """:func:`embed`, after which only the failed texts are tried again, up to ``attempts`` times in all; failures stay as rows.
+
+    Ends with an error if more than ``abort_share`` of the texts fail at first, as then the model and not the text is at fault.
+    """
+    got = materialize(embed(chunks, embed_texts, text_col, dim), "embedded")
+    row = got.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
+    if row["n"] and row["bad"] > abort_share * row["n"]:
+        raise RuntimeError(f"{row['bad']} of {row['n']} texts could not be embedded")
+    for _ in range(attempts - 1):
+        failed = got.where("error is not null")
+        if failed.isEmpty():
+            break
+        again = embed(failed.drop("embedding", "error"), embed_texts, text_col, dim)
+        got = materialize(got.where("error is null").unionByName(again), "embedded")
+    return got
+
+
 #: Ids of one block of :func:`batches`; a task cuts one block.
 BLOCK_IDS = 1 << 16
 
