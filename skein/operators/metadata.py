@@ -348,8 +348,16 @@ def type_stats(entries: DataFrame, collections: DataFrame | None = None) -> Data
 
 
 def number_ranges(entries: DataFrame) -> DataFrame:
-    """``key, low, median, high`` over the number rows; the median is the mean of the two middle values."""
-    return entries.where("value_type = 'number'").groupBy("key").agg(F.min("number_value").alias("low"), F.percentile("number_value", 0.5).alias("median"), F.max("number_value").alias("high"))
+    """``key, low, median, high`` over the number rows; the median is the mean of the two middle values, halved first where their
+    sum is not finite. Values are counted before they are ordered, so a repeated value is one row however often it occurs."""
+    counted = entries.where("value_type = 'number' and number_value is not null").groupBy("key", F.col("number_value").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    part = W.partitionBy("key")
+    at = counted.withColumn("end", F.sum("k").over(part.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(part))
+    middle = [F.min(F.when(F.col("end") > F.floor((F.col("n") - x) / 2), F.col("v"))).alias(c) for x, c in ((1, "a"), (0, "b"))]
+    both = at.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), *middle)
+    mean = (F.col("a") + F.col("b")) / 2
+    finite = F.abs(F.col("a") + F.col("b")) < float("inf")
+    return both.select("key", "low", F.when(finite, mean).otherwise(F.col("a") / 2 + F.col("b") / 2).alias("median"), "high")
 
 
 def value_counts(entries: DataFrame, limit: int = 10, offset: int = 0, least: int = 1, by_count: bool = True) -> DataFrame:

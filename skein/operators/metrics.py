@@ -6,6 +6,10 @@ relevant documents. Queries without a relevant document are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,15 +82,24 @@ def gate(deltas: DataFrame, tolerance: float = 0.01) -> DataFrame:
 def paired_bootstrap(deltas: DataFrame, rounds: int = 1000, seed: int = 13) -> DataFrame:
     """``macro_delta, low, high``: percentile interval of the macro mean of ``source, delta`` rows.
 
-    Each round draws every row Poisson(1) times, by a hash of row, round and seed: one distributed
-    aggregation of (source, round), however many the rows.
+    Each round draws every row Poisson(1) times, by a generator seeded with the row's id, so the draw does not depend on where the
+    row lies. A task adds up the rounds of its rows in arrays and sends one pair of arrays per source.
     """
-    spark = deltas.sparkSession
-    u = (F.xxhash64(F.lit(seed), "qid", "round").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
-    rows = deltas.crossJoin(F.broadcast(spark.range(rounds).withColumnRenamed("id", "round"))).select("source", "delta", "round", u)
-    steps = [0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182]
-    times = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    per = rows.groupBy("round", "source").agg((F.sum(F.col("delta") * times) / F.nullif(F.sum(times), F.lit(0))).alias("m"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for source, delta, key in zip(pdf["source"], pdf["delta"], pdf["key"]):
+                times = np.random.Generator(np.random.Philox(key=int(key) & (1 << 64) - 1)).poisson(1.0, rounds)
+                total = sums.setdefault(source, (np.zeros(rounds), np.zeros(rounds)))
+                total[0][:] += delta * times
+                total[1][:] += times
+        yield pd.DataFrame({"source": pd.Series(list(sums), dtype=object), "s": pd.Series([v[0] for v in sums.values()], dtype=object), "n": pd.Series([v[1] for v in sums.values()], dtype=object)})
+
+    keyed = deltas.where("delta is not null").select("source", F.col("delta").cast("double").alias("delta"), F.xxhash64(F.lit(seed), "qid").alias("key"))
+    kind = dict(deltas.dtypes)["source"]
+    parts = keyed.mapInPandas(draw, f"source {kind}, s array<double>, n array<double>")
+    per = parts.select("source", F.posexplode(F.arrays_zip("s", "n")).alias("round", "x")).groupBy("round", "source").agg((F.sum("x.s") / F.nullif(F.sum("x.n"), F.lit(0.0))).alias("m"))
     rounds_ = per.groupBy("round").agg(F.avg("m").alias("m"))
     real = deltas.groupBy("source").agg(F.avg("delta").alias("m")).agg(F.avg("m").alias("macro_delta"))
-    return rounds_.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(real)
+    return rounds_.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).crossJoin(real)  # one row each

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import SCHEME, glob_regex, is_docid, normal_docid, virtual_path
 from ..functions.text import INTENT_STOP_WORDS, csv_field, xml_text
+from ..session import BROADCAST_ROWS, broadcast_rows, materialize
 
 #: Body size limit of multi-document reads, snippet width, padding and weight of intent terms.
 MAX_READ, SNIPPET, PADDING, INTENT_WEIGHT, CHUNK = 64 * 1024, 500, 100, 0.3, 3600
@@ -39,12 +40,48 @@ def resolve_refs(refs: DataFrame, documents: DataFrame, scheme: str = SCHEME) ->
     return best.groupBy("ref", "tier").agg(F.count_distinct("doc").alias("found"), F.min("doc").alias("doc"))
 
 
+def _edit_keys(most: int):
+    """Keys that two texts within ``most`` edits share: trigrams of long ones (an edit breaks three at most), what up to ``most`` left
+    out letters leave of short ones."""
+    short = 3 * most + 3
+
+    def left(t: str) -> set[str]:
+        found = layer = {t}
+        for _ in range(most):
+            layer = {x[:i] + x[i + 1 :] for x in layer for i in range(len(x))}
+            found = found | layer
+        return found
+
+    @F.pandas_udf("array<string>")
+    def keys(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            k = {"g" + t[i : i + 3] for i in range(len(t) - 2)} if len(t) >= short - most else set()
+            out.append(sorted(k | {"d" + x for x in left(t)} if len(t) <= short + most else k))
+        return pd.Series(out)
+
+    return keys
+
+
 def similar_paths(refs: DataFrame, documents: DataFrame, most: int = 3, limit: int = 5) -> DataFrame:
-    """``ref, path, distance``: the nearest active paths of each reference by edit distance, at most ``most``."""
-    near = refs.join(documents.select("path").distinct(), F.abs(F.length("ref") - F.length("path")) <= most)
+    """``ref, path, distance``: the nearest active paths of each reference by edit distance, at most ``most``.
+
+    Up to ``BROADCAST_ROWS`` references (a handful, as a rule) go to every task; more meet the paths by keys that
+    near texts share.
+    """
+    paths = documents.select("path").where("path is not null").distinct()
+    refs = materialize(refs.select("ref").where("ref is not null").distinct(), "refs")
+    size = F.abs(F.length("ref") - F.length("path")) <= most
+    if (n := refs.count()) <= BROADCAST_ROWS:
+        near = paths.join(broadcast_rows(refs, n), size)
+    else:
+        keys = _edit_keys(most)
+        a = refs.select("ref", F.explode(keys(F.lower("ref"))).alias("k"))
+        b = paths.select("path", F.explode(keys(F.lower("path"))).alias("k"))
+        near = a.join(b, "k").where(size).select("ref", "path").distinct()
     d = F.levenshtein(F.lower("ref"), F.lower("path"), most)
     scored = near.withColumn("distance", d).where("distance >= 0")
-    return scored.withColumn("n", F.row_number().over(W.partitionBy("ref").orderBy("distance", "path"))).where(F.col("n") <= limit).drop("n")
+    return scored.withColumn("n", F.row_number().over(W.partitionBy("ref").orderBy("distance", "path"))).where(F.col("n") <= limit).select("ref", "path", "distance")
 
 
 def match_glob(documents: DataFrame, pattern: str, scheme: str = SCHEME) -> DataFrame:

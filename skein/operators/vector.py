@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Query vectors held by a task at once.
 QUERY_BLOCK = 4096
 
@@ -56,17 +58,46 @@ def _best(ids: np.ndarray, vecs: np.ndarray, k: int):
     return run
 
 
-def _blocks(queries: DataFrame, id_col: str, vector_col: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query vectors in blocks of bounded size."""
+#: Rows that a task holds while all query blocks pass.
+ROW_BLOCK = 50_000
+
+
+def _searched(queries: DataFrame, side: DataFrame, id_col: str, vector_col: str, block: int, make, schema: str) -> DataFrame:
+    """``make(ids, vectors)`` over the rows for all query vectors, in one pass over the rows.
+
+    One block of queries travels with the task; more are written once, and each task opens them file by file beside its block of rows,
+    so neither side goes through the driver and no scan is repeated.
+    """
     source = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    batch: list = []
-    for r in source.toLocalIterator():
-        batch.append(r)
-        if len(batch) == block:
-            yield np.array([x["id"] for x in batch]), _unit(pd.Series([x["v"] for x in batch]))
-            batch = []
-    if batch:
-        yield np.array([x["id"] for x in batch]), _unit(pd.Series([x["v"] for x in batch]))
+    few = source.limit(block + 1).collect()
+    if not few:
+        return side.sparkSession.createDataFrame([], schema)
+    if len(few) <= block:
+        return side.mapInPandas(make(np.array([x["id"] for x in few]), _unit(pd.Series([x["v"] for x in few]))), schema)
+    paths = sorted(materialize(source, "queries").inputFiles())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= ROW_BLOCK:
+                yield from passed(pd.concat(held))
+                held = []
+        if held:
+            yield from passed(pd.concat(held))
+
+    def passed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for path in paths:
+            system, inner = pafs.FileSystem.from_uri(path)
+            with system.open_input_file(inner) as f:
+                for part in pq.ParquetFile(f).iter_batches(block):
+                    q = part.to_pandas()
+                    yield from make(q["id"].to_numpy(), _unit(q["v"]))(iter([rows]))
+
+    return side.mapInPandas(run, schema)
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -74,9 +105,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k
     kind = dict(rows.dtypes)[id_col]
     schema = f"qid {kind}, id {kind}, distance double"
     side = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    found = rows.sparkSession.createDataFrame([], schema)
-    for ids, vecs in _blocks(queries, id_col, vector_col, block):
-        found = found.unionByName(side.mapInPandas(_best(ids, vecs, k), schema))
+    found = _searched(queries, side, id_col, vector_col, block, lambda ids, vecs: _best(ids, vecs, k), schema)
     order = W.partitionBy("qid").orderBy(F.round("distance", 9), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -110,9 +139,7 @@ def nearest_groups(queries: DataFrame, rows: DataFrame, id_col: str, vector_col:
     types = dict(rows.dtypes)
     schema = f"qid {dict(queries.dtypes)[id_col]}, g {types[group_col]}, id {types[id_col]}, distance double"
     side = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(group_col).alias("g"))
-    found = rows.sparkSession.createDataFrame([], schema)
-    for ids, vecs in _blocks(queries, id_col, vector_col, block):
-        found = found.unionByName(side.mapInPandas(_best_groups(ids, vecs, k), schema))
+    found = _searched(queries, side, id_col, vector_col, block, lambda ids, vecs: _best_groups(ids, vecs, k), schema)
     best = found.groupBy("qid", "g").agg(F.min(F.struct("distance", "id")).alias("m")).select("qid", F.col("g").alias(group_col), "m.id", "m.distance")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", group_col)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -259,7 +259,7 @@ def resolved_refs(spark: SparkSession, d: str) -> DataFrame:
 def similar_paths(spark: SparkSession, d: str) -> DataFrame:
     """The nearest paths of some misspelt ones."""
     refs = spark.createDataFrame([("note/walk_tree-219.md",), ("Archive/read_slise-625.md",), ("docs/merge_key-376.md",), ("inbox/none.md",)], "ref string")
-    return retrieval.similar_paths(F.broadcast(refs), active_documents(spark, d))
+    return retrieval.similar_paths(refs, active_documents(spark, d))
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:

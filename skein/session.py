@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = getattr(spark, "_skein_shared", None)
         if not path:
+            if not re.match(r"local($|\[)", spark.sparkContext.master or ""):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             path = "file://" + os.path.join(tempfile.gettempdir(), f"skein-{uuid.uuid4().hex}")
             spark._skein_shared = path
             spark.sparkContext.setCheckpointDir(path)

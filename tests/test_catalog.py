@@ -167,3 +167,38 @@ def test_batches_restart_the_sum(spark):
     df = spark.createDataFrame([(i, "x", s) for i, s in enumerate([6, 5, 5, 9, 1, 20, 1])], "id long, p string, size long")
     got = [r["batch"] for r in maintenance.batches(df, "id", "size", ["p"], 64, 10).orderBy("id").collect()]
     assert got == [0, 1, 1, 2, 2, 3, 4]
+
+
+def test_vectors_in_many_query_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from skein.operators import vector
+
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    want = sorted(map(tuple, vector.nearest(df, df, "id", "v", 3).select("qid", "id", "rank").collect()))
+    monkeypatch.setattr(vector, "ROW_BLOCK", 7)
+    assert sorted(map(tuple, vector.nearest(df, df.repartition(3), "id", "v", 3, block=8).select("qid", "id", "rank").collect())) == want
+
+
+def test_similar_paths_by_keys(spark, monkeypatch):
+    import random
+
+    from skein.operators import retrieval
+
+    rng = random.Random(2)
+    texts = sorted({"".join(rng.choice("ab/") for _ in range(rng.randint(1, 20))) for _ in range(150)} | {""})
+    docs = spark.createDataFrame([(t,) for t in texts], "path string")
+    refs = spark.createDataFrame([(t[:-1] + "ab",) for t in texts[::9]] + [(None,)], "ref string")
+    want = sorted(map(tuple, retrieval.similar_paths(refs, docs).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 1)
+    assert want and sorted(map(tuple, retrieval.similar_paths(refs, docs).collect())) == want
+
+
+def test_medians(spark):
+    from skein.operators import metadata
+
+    rows = [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", 1e308), ("b", 1.7e308), ("c", 5.0)]
+    df = spark.createDataFrame([(k, "number", v) for k, v in rows], "key string, value_type string, number_value double")
+    assert {r["key"]: r["median"] for r in metadata.number_ranges(df).collect()} == {"a": 2.0, "b": 1.35e308, "c": 5.0}

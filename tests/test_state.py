@@ -239,11 +239,11 @@ def test_negation_is_looked_for_in_expansions(spark, tmp_path):
     rows = [(1, "hotels without a pool", [["lex", "hotels pool"], None]), (2, "hotels without a pool", [["lex", "hotels"], ["vec", "hotels that have no pool"]]), (3, "hotels with a pool", [["lex", "hotels"]]), (4, "not open on Monday", None), (5, None, [["lex", "x"]])]
     for name in ("qmd_expansion_locations", "qmd_expansion_personal_entities", "qmd_expansion_sports"):
         spark.createDataFrame(rows + rows[:1], "record_id long, query string, output array<array<string>>").write.parquet(str(tmp_path / f"{name}.parquet"))
-    raw = [(1, "never on sale", "lex: on sale"), (2, "never on sale", "lex: not on sale"), (3, "on sale", None)]
+    raw = [(1, "not on sale", "lex: on sale"), (2, "not on sale", "lex: not on sale"), (3, "on sale", None)]
     spark.createDataFrame(raw, "record_id long, query string, raw_model_output string").write.parquet(str(tmp_path / "query_expansion_contract_v1.parquet"))
-    got = sorted((r["table_name"], r["record_id"]) for r in state_queries.negation_lost(spark, str(tmp_path)).collect())
+    got = sorted((r["table_name"], r["record_id"], r["text"]) for r in state_queries.negation_lost(spark, str(tmp_path)).collect())
     tables = ("qmd_expansion_locations", "qmd_expansion_personal_entities", "qmd_expansion_sports")
-    assert got == sorted([(t, i) for t in tables for i in ("1", "4")] + [("query_expansion_contract_v1", "1")])
+    assert got == sorted([(t, i, x) for t in tables for i, x in (("1", "hotels pool"), ("2", "hotels"))] + [("query_expansion_contract_v1", "1", "on sale")])
 
 
 def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
