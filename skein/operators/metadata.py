@@ -330,7 +330,8 @@ def value_column() -> Column:
 
 
 def key_window(entries: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """``key, documents, position, total_keys``: keys by their number of documents, then name."""
+    """``key, documents, position, total_keys, in_page``: keys by their number of documents, then name; the first key stays (outside
+    the page) so that the total survives a page out of range."""
     counted = entries.groupBy("key").agg(F.count_distinct("doc").alias("documents"))
     order = W.orderBy(F.desc("documents"), "key")
     ranked = counted.withColumn("position", F.row_number().over(order)).withColumn("total_keys", F.count(F.lit(1)).over(W.partitionBy()))

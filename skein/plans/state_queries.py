@@ -94,7 +94,7 @@ def _collections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_keys(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.key_window(_entries(spark, d), 3, 1)
+    return metadata.key_window(_entries(spark, d), 3, 1).where("in_page").drop("in_page")
 
 
 def metadata_types(spark: SparkSession, d: str) -> DataFrame:
