@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,8 +32,8 @@ def drop_materialized(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the setting is absent (local tests) a private temporary folder is made and
-    set as the session's checkpoint folder.
+    Only where the setting is absent and the session is local (tests) a private temporary folder is made and
+    set as the session's checkpoint folder; it is removed when the process ends. On a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not path:
             if not re.match(r"local($|\[)", spark.sparkContext.master or ""):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            path = "file://" + os.path.join(tempfile.gettempdir(), f"skein-{uuid.uuid4().hex}")
+            folder = os.path.join(tempfile.gettempdir(), f"skein-{uuid.uuid4().hex}")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            path = "file://" + folder
             spark._skein_shared = path
             spark.sparkContext.setCheckpointDir(path)
     return path
