@@ -185,6 +185,42 @@ def test_near_pairs_are_exact(spark):
     assert {(r["a"], r["b"]) for r in curation.near_pairs(df).collect()} == brute_near(texts)
 
 
+def test_near_pairs_of_a_template_take_no_time(spark):
+    """Texts of one template whose items are all frequent: exact, and few pairs are listed."""
+    import random
+
+    from skein.operators import setjoin
+
+    rng = random.Random(8)
+    part = [a + b + c for a in "bdfgklmnprstv" for b in "aeiou" for c in "nrl"][::4]
+    name = lambda: "".join(rng.choice(part) for _ in range(3))
+    texts = sorted({f"opening hours of the {name()} {name()} bell tower in winter" for _ in range(3000)})
+    texts += [t.replace("opening", "openings") for t in texts[::50]] + [t[:25] + "x" + t[26:] for t in texts[::40]] + ["a", "ab"]
+    df = spark.createDataFrame([(t, t) for t in texts], "key string, text string")
+    listed = {(r["a"], r["b"]) for r in setjoin.candidates(df, None, 0.8, 0.85).select("a", "b").collect()}
+    assert len(listed) < 20_000
+    near = {(r["a"], r["b"]) for r in curation.near_pairs(df.withColumnRenamed("key", "id")).collect()}
+    some = texts[::150] + texts[-150:]
+    assert {p for p in near if p[0] in some and p[1] in some} == brute_near(set(some)) and len(near) >= 130
+    across = {(r["a"], r["b"]) for r in curation.near_pairs(df.withColumnRenamed("key", "id"), spark.createDataFrame([(t, t) for t in some], "id string, text string")).collect()}
+    assert across == {(x, y) for p in near for x, y in (p, p[::-1]) if y in some} | {(t, t) for t in some}
+
+
+def test_near_pairs_of_mixed_sizes(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = set()
+    for _ in range(60):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) + str(rng.randint(0, 9)) for _ in range(rng.choice([1, 2, 5, 12, 40, 90]))]
+        texts.add(" ".join(words))
+        for _ in range(3):
+            again = [w for w in words if rng.random() > 0.08] + (["more"] if rng.random() < 0.4 else [])
+            texts.add(" ".join(again) or "x")
+    df = spark.createDataFrame([(t, t) for t in texts], "id string, text string")
+    assert {(r["a"], r["b"]) for r in curation.near_pairs(df).collect()} == brute_near(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in curation.components(spark.createDataFrame(edges, "a long, b long")).collect()}
