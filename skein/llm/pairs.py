@@ -38,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import setjoin
 from ..operators.curation import components
 from ..session import heavy_split_join, materialize
 
@@ -199,16 +200,22 @@ def _shingles(text: str) -> set[str]:
     return {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
-#: Members of a band up to which all its pairs are compared.
+#: Members of a band up to which all its pairs are listed; of a larger one only those that decide its clusters.
 BAND = 1000
 
 
+def _shingle_hashes(text: Column) -> Column:
+    w = F.split(text, " ")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
+
+
 def similar_openings(openings: DataFrame, bands: int = 20, rows: int = 4) -> DataFrame:
     """``a, b``: distinct openings whose shingle sets agree to ``SIMILAR`` or more, ``a < b``.
 
-    A pair of that similarity shares a band with probability 0.99997, one of 0.2 with 0.03. A band with more than ``BAND``
-    members (a template with a free slot) is ordered by text and compared in overlapping runs of that many, beside
-    its smallest member, so its work grows in proportion: variants of a template meet through their likes there.
+    A pair of that similarity shares a band with probability 0.99997, one of 0.2 with 0.03. All pairs of a band are listed, but of
+    a band with more than ``BAND`` members (a template with a free slot) only so many that its clusters are those of all pairs: the
+    members are compared with their neighbours by text and with the smallest one; then every member outside the largest cluster of such
+    a band is joined exactly (:mod:`skein.operators.setjoin`) with the members of all large bands that are in another cluster.
     """
     rng = np.random.default_rng(7)
     mul = rng.integers(1, 1 << 31, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -234,15 +241,26 @@ def similar_openings(openings: DataFrame, bands: int = 20, rows: int = 4) -> Dat
     members = keyed.join(size, "band")
     small = members.where(F.col("n") <= BAND).select("band", "opening")
     pairs = small.select(F.col("opening").alias("a"), "band").join(small.select(F.col("opening").alias("b"), "band"), "band").where("a < b").select("a", "b")
-    if not size.where(F.col("n") > BAND).isEmpty():
-        # the key's prefix orders a large band in runs that tasks share
-        large = members.where(F.col("n") > BAND)
-        run = F.struct("band", F.substring("opening", 1, 24))
-        order = W.partitionBy(run).orderBy("opening")
-        after = [F.lead("opening", k).over(order).alias(f"l{k}") for k in (1, 2, 4, 8)]
-        chain = large.select("opening", *after).select(F.col("opening").alias("a"), F.explode(F.array(*[f"l{k}" for k in (1, 2, 4, 8)])).alias("b"))
-        pairs = pairs.union(chain).union(large.select(F.col("least").alias("a"), F.col("opening").alias("b"))).where("a < b")
-    return pairs.distinct().where(jaccard("a", "b") >= SIMILAR)
+    verified = lambda df: df.distinct().where(jaccard("a", "b") >= SIMILAR)
+    if size.where(F.col("n") > BAND).isEmpty():
+        return verified(pairs)
+    # the key's prefix orders a large band in runs that tasks share
+    large = members.where(F.col("n") > BAND)
+    run = F.struct("band", F.substring("opening", 1, 24))
+    order = W.partitionBy(run).orderBy("opening")
+    after = [F.lead("opening", k).over(order).alias(f"l{k}") for k in (1, 2, 4, 8)]
+    chain = large.select("opening", *after).select(F.col("opening").alias("a"), F.explode(F.array(*[f"l{k}" for k in (1, 2, 4, 8)])).alias("b"))
+    pairs = pairs.union(chain).union(large.select(F.col("least").alias("a"), F.col("opening").alias("b"))).where("a < b")
+    near = materialize(verified(pairs), "p1_near")
+    roots = components(near).select(F.col("node").alias("opening"), "root")
+    large = materialize(large.select("band", "opening").join(roots, "opening", "left").withColumn("root", F.coalesce("root", "opening")), "p1_large")
+    most = large.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    outside = large.join(most.where("roots > 1"), "band").where("root <> most")
+    rest, every = (materialize(df.select(F.col("opening").alias("key"), F.col("opening").alias("text"), F.xxhash64("root").alias("group")).distinct(), "p1_apart") for df in (outside, large))
+    if rest.isEmpty():
+        return near
+    apart = setjoin.candidates(rest, every, SIMILAR, None, _shingle_hashes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.union(verified(apart))
 
 
 def refusing_openings(read: DataFrame) -> DataFrame:

@@ -96,6 +96,19 @@ def test_a_large_band_stays_connected(spark, monkeypatch):
     assert {r["node"] for r in roots} == set(texts) and len({r["root"] for r in roots}) == 1
 
 
+def test_a_large_band_drops_no_pair(spark, monkeypatch):
+    """One band of all texts, in which the like of each is far from it in order and no other one is similar."""
+    monkeypatch.setattr(pairs, "BAND", 5)
+    tail = [f"t{k}" for k in range(40)]
+    text = lambda front, i: " ".join([f"{front}{i}", *tail[: 6 + i % 30], f"v{i}", *tail[7 + i % 30 :]])
+    texts = [text(front, i) for i in range(60) for front in "az"]
+    similar = lambda x, y: len(x & y) / len(x | y) >= pairs.SIMILAR
+    want = {(min(x, y), max(x, y)) for n, x in enumerate(texts) for y in texts[:n] if similar(pairs._shingles(x), pairs._shingles(y))}
+    assert want == {(text("a", i), text("z", i)) for i in range(60)}
+    near = {(r["a"], r["b"]) for r in pairs.similar_openings(spark.createDataFrame([(t,) for t in texts], "opening string"), bands=1, rows=1).collect()}
+    assert near <= want and len(near) >= 50
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, query string, output array<array<string>>")
     assert pairs.defective_pairs(pairs.read_pairs(df, "t", "output", lines=False)).count() == 0
