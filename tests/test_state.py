@@ -319,3 +319,55 @@ def test_family_selection(spark):
     got = curation.select_families(fam, 54, "s").collect()
     assert len(got) == 5 and not any(r["used"] for r in got)
     assert len(curation.select_families(fam, 76, "s").collect()) == 8
+
+
+def test_pairs_of_sets_are_found_at_any_size_and_share(monkeypatch):
+    """Keys, maps and tables of the set join against brute force, with parts of any size."""
+    import numpy as np
+
+    from skein.operators import setjoin
+
+    rng = np.random.default_rng(12)
+    lists = []
+    for size in (1, 2, 3, 4, 5, 6, 8, 11, 15, 22, 30, 45, 90):
+        for _ in range(3):
+            base = rng.integers(0, 10 * size, size)
+            lists += [base] + [np.append(base[rng.random(size) > lost], rng.integers(0, 10 * size, more)) for lost, more in ((0.02, 0), (0.1, 1), (0.0, size // 8), (0.3, size // 3))]
+    lists += [np.zeros(0, np.int64), np.arange(3), np.arange(3)]
+    lists = [np.unique(x).astype(np.int64) for x in lists]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    item = setjoin._mix(np.concatenate(lists).view(np.uint64))
+    n = np.bincount((item >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+    rank = np.empty(1 << 16, np.uint64)
+    rank[np.argsort(n, kind="stable")] = np.arange(1 << 16, dtype=np.uint64)
+    sets = [set(x.tolist()) for x in lists]
+    for least in (0.5, 0.8, 0.85, 1.0):
+        want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if x and y and len(x) >= len(y) and len(x & y) >= least * len(x | y)}
+        for step, table, part in ((1 << 18, 1 << 12, 1_000_000), (3_000, 8, 300)):
+            for k, v in (("STEP", step), ("TABLE", table), ("SLICE", part)):
+                monkeypatch.setattr(setjoin, k, v)
+            s = setjoin.Sets(len(lists), owner, item, rank, 40_000, 16)
+            assert s.n.tolist() == [len(x) for x in sets]
+            index = setjoin._opened({"w_n": s.n.astype(np.int32), "w_maps": s.maps, "w_rare": s.rare, "w_entry": np.sort(s.as_smaller(least)), "group": None}, "w")
+            codes = setjoin.matches(index | {"n": s.n.astype(np.int32)}, np.sort(s.as_larger(least)), index, least)
+            got = {(int(c) >> 32, int(c) & 0xFFFFFFFF) for part in codes for c in part}
+            assert want <= got and len(got) < 2 * len(want) + 20
+
+
+def test_texts_of_templates_are_hardly_listed_unless_similar(spark):
+    """Templates whose words are rarer than parts of the names: what shares the template alone is not passed on."""
+    import random
+
+    from skein.operators import setjoin
+
+    rng = random.Random(13)
+    part = "gri ras fen gor pel bri hul tol nim eth tif xan jor ren lun tam ves ygg dov und".split()
+    name = lambda k: "".join(rng.choice(part) for _ in range(k))
+    forms = ["best time of day to photograph the {} {} gorge in winter", "legends told about the {} {} gorge by local fishermen in winter", "guided tour of the {} {} gorge in a foreign language in winter"]
+    texts = sorted({rng.choice(forms).format(name(3), name(4)) for _ in range(6000)})
+    texts += [t.replace(" gorge", " groge") for t in texts[::60]]
+    df = spark.createDataFrame([(t, t) for t in texts], "key string, text string")
+    listed = {(min(p), max(p)) for p in setjoin.candidates(df, None, 0.8, 0.85).select("a", "b").collect()}
+    near = {(r["a"], r["b"]) for r in curation.near_pairs(df.withColumnRenamed("key", "id")).collect()}
+    assert near <= listed and len(near) >= 100
+    assert len(listed) <= 1.2 * len(near)
