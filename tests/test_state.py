@@ -348,7 +348,7 @@ def test_pairs_of_sets_are_found_at_any_size_and_share(monkeypatch):
                 monkeypatch.setattr(setjoin, k, v)
             s = setjoin.Sets(len(lists), owner, item, rank, 40_000, 16)
             assert s.n.tolist() == [len(x) for x in sets]
-            index = setjoin._opened({"w_n": s.n.astype(np.int32), "w_maps": s.maps, "w_rare": s.rare, "w_entry": np.sort(s.as_smaller(least)), "group": None}, "w")
+            index = setjoin._opened({"w_n": s.n.astype(np.int32), "w_maps": s.maps, "w_rare": s.rare, "w_entry": setjoin._packed(np.sort(s.as_smaller(least))), "group": None}, "w")
             codes = setjoin.matches(index | {"n": s.n.astype(np.int32)}, np.sort(s.as_larger(least)), index, least)
             got = {(int(c) >> 32, int(c) & 0xFFFFFFFF) for part in codes for c in part}
             assert want <= got and len(got) < 2 * len(want) + 20
