@@ -371,3 +371,69 @@ def test_texts_of_templates_are_hardly_listed_unless_similar(spark):
     near = {(r["a"], r["b"]) for r in curation.near_pairs(df.withColumnRenamed("key", "id")).collect()}
     assert near <= listed and len(near) >= 100
     assert len(listed) <= 1.2 * len(near)
+
+
+def test_keys_are_looked_up_once_for_a_group_of_shards(tmp_path, monkeypatch):
+    """Shards, groups, blocks and tables of any size give all pairs, and shards are not opened one by one."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from skein.operators import setjoin
+
+    rng = random.Random(14)
+    part = "gri ras fen gor pel bri hul tol nim eth".split()
+    texts = [f"opening hours of the {''.join(rng.choices(part, k=3))} bell tower" for _ in range(150)]
+    texts = sorted({*texts, *(t[:24] + "x" + t[25:] for t in texts[::3]), *(t + " today" for t in texts[::4]), "a", "ab"})
+    ids = {w: i * 7919 for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    rows = pa.RecordBatch.from_pydict({"text": texts, "w": pa.array([[ids[w] for w in t.split()] for t in texts], pa.list_(pa.int64()))})
+    batches = lambda: [rows.slice(i, 30) for i in range(0, len(rows), 30)]
+    seen = {(k, b): n for x in setjoin._count(["g", "w"])(batches()) for k, b, n in zip(*x.to_pydict().values())}
+    ranks = {k: (np.argsort(np.argsort([seen.get((k, b), 0) for b in range(1 << 16)], kind="stable")).astype(np.uint64), 60_000) for k in "wg"}
+    calls = []
+    plain = setjoin.matches
+    monkeypatch.setattr(setjoin, "matches", lambda *x: calls.append(1) or plain(*x))
+    for shard, group, task, block in ((40, 10_000, 10_000, 16), (25, 60, 70, 50)):
+        for k, v in (("SHARD_ROWS", shard), ("GROUP_ROWS", group), ("TASK_ROWS", task), ("BLOCK_ROWS", block)):
+            monkeypatch.setattr(setjoin, k, v)
+        path = str(tmp_path / f"{shard}.parquet")
+        shards = list(setjoin._build(ranks, {"w": 0.8, "g": 0.85})(batches()))
+        pq.write_table(pa.Table.from_batches(shards), path)
+        assert len(shards) >= 4
+        calls.clear()
+        got = {(min(p), max(p)) for x in setjoin._stream(["file://" + path], ranks, {"w": 0.8, "g": 0.85}, True)(batches()) for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+        want = brute_near(texts)
+        assert want <= got and len(want) > 40 and all(a != b for a, b in got)
+        if group > len(texts):
+            assert len(calls) == sum(1 << setjoin.RANGE_BITS[k] for k in "wg")
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    import random
+
+    rng = random.Random(15)
+    for kind, make in (("string", lambda: f"n{rng.randrange(80)}\U0001f600"), ("long", lambda: rng.randrange(80))):
+        edges = spark.createDataFrame([(make(), make()) for _ in range(60)], f"a {kind}, b {kind}")
+        written = []
+        with monkeypatch.context() as m:
+            m.setattr(curation, "materialize", lambda df, name: written.append(name) or plain(df, name))
+            plain = __import__("skein.session", fromlist=["x"]).materialize
+            once = {tuple(r) for r in curation.components(edges).collect()}
+            assert written == ["cc"]
+            m.setattr(curation, "TASK_EDGES", 0)
+            assert once == {tuple(r) for r in curation.components(edges).collect()} and len(written) > 2
+    assert curation.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_families_of_records_with_several_texts(spark):
+    import hashlib
+
+    text = [hashlib.sha256(bytes([i])).hexdigest()[:24] for i in range(40)]
+    rows = [(i, t) for i in range(40) for t in ([text[i]] + (["0 words of two records"] if i in (3, 4) else []) + ([None] if i in (5, 6) else []))]
+    judged = spark.createDataFrame([(8, "d"), (9, "d")], "id long, doc string")
+    got = {r["id"]: (r["query"], r["family"]) for r in curation.query_families(spark.createDataFrame(rows + rows[:9], "id long, text string"), judged).collect()}
+    want = {i: (t, t) for i, t in enumerate(text)}
+    want |= {i: ("0 words of two records",) * 2 for i in (3, 4)} | {i: (text[i], min(text[8:10])) for i in (8, 9)}
+    assert got == want
